@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import minhash
+from engramite.llm import decontaminate, minhash
 from engramite.llm.common import table
 
 
@@ -15,9 +15,27 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of words that a document shares with a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT least(len(w), 8) AS n, array_to_string(list_slice(w, i, i + least(len(w), 8) - 1), ' ') AS g FROM b, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS t(i) WHERE len(w) >= 4),
+n AS (SELECT DISTINCT n FROM p),
+s AS (SELECT r, doc_id, i - 1 AS a, i - 1 + n AS z, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM d, n, unnest(generate_series(1, len(w) - n + 1)) AS t(i)),
+h AS (SELECT DISTINCT r, doc_id, a, z FROM s SEMI JOIN p USING (n, g)),
+m AS (SELECT *, max(z) OVER (PARTITION BY r ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+k AS (SELECT *, sum(CASE WHEN coalesce(reach, -1) < a THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY a, z) AS isle FROM m)
+SELECT doc_id, CAST(min(a) AS INTEGER) AS first_word, CAST(max(z) AS INTEGER) AS after_word FROM k GROUP BY r, doc_id, isle
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4_SQL}
