@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import decontaminate, minhash
+from engramite.llm import decontaminate, minhash, packing, quality, secrets
 from engramite.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document, from a ledger that starts empty."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass the whole cascade."""
+    return quality.kept(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of words that a document shares with a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,9 +43,14 @@ SELECT doc_id, CAST(min(a) AS INTEGER) AS first_word, CAST(max(z) AS INTEGER) AS
 """
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL}
