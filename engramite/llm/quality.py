@@ -54,11 +54,11 @@ RULES = [
     Rule("blank", "t IS NULL OR length(translate(t, ' \t\r\n', '')) = 0"),
     Rule("symbols", f"{_share(_SIGNS, 'length(t)')} > 0.05"),
     Rule("shouting", f"{_share(_UPPER, f"length(t) - length(translate(t, '{_UPPER}{_LOWER}', ''))")} > 0.5"),
-    Rule("digits", f"{_share('0123456789', 'length(t)')} > 0.4"),
+    Rule("digits", f"length(t) >= 200 AND {_share('0123456789', 'length(t)')} > 0.5"),
     Rule("garbled", f"{_share('�\x01\x02\x03\x04\x05\x06\x07', 'length(t)')} > 0.01"),
     Rule("word_length", f"(length(t) - {_BREAKS}) / CAST({_BREAKS} + 1 AS DOUBLE) > 30"),
     Rule("duplicate_lines", _with(_LINES, "size(w) >= 4 AND size(array_distinct(w)) < 0.5D * size(w)"), f"len({_DLINES}) >= 4 AND len(list_distinct({_DLINES})) < CAST(0.5 AS DOUBLE) * len({_DLINES})"),
-    Rule("repeated_words", _with(_WORDS, "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x = w[i - 1])) > 0.3D * size(w)"), f"len({_DWORDS}) >= 8 AND len(list_filter(list_zip({_DWORDS}, list_slice({_DWORDS}, 2, NULL)), lambda p: p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len({_DWORDS})"),
+    Rule("repeated_words", _with(_WORDS, "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x = w[i - 1])) > 0.3D * size(w)"), f"len({_DWORDS}) >= 8 AND len(list_filter(list_zip({_DWORDS}, ({_DWORDS})[2:]), lambda p: p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len({_DWORDS})"),
     Rule("few_words", _with(_WORDS, "size(w) >= 40 AND size(array_distinct(w)) < 0.15D * size(w)"), f"len({_DWORDS}) >= 40 AND len(list_distinct({_DWORDS})) < CAST(0.15 AS DOUBLE) * len({_DWORDS})"),
 ]
 
