@@ -46,7 +46,7 @@ class Rule:
 
 
 RULES = (
-    Rule("assigned_secret", 1, r"""(?i:token|secret|passw(?:or)?d|api[_-]?key)["']?[ \t]*[:=][ \t]*["'][0-9A-Za-z_/+=.-]{16,}["']""", ("token", "secret", "passw", "api_key", "api-key", "apikey")),
+    Rule("assigned_secret", 1, r"""(?i:token|secret|passw(?:or)?d|api[_-]?key)["']?[ \t]*[:=][ \t]*(?:["'][0-9A-Za-z_/+=.-]{16,}["']|[A-Za-z_-]{0,16}[0-9][0-9A-Za-z_/+=-]{11,})""", ("token", "secret", "passw", "api_key", "api-key", "apikey")),
     Rule("aws_access_key", 1, r"AKIA[0-9A-Z]{16}", ("akia",)),
     Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
