@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import decontaminate, minhash, packing, quality, secrets
+from engramite.llm import decontaminate, minhash, packing, pii, quality, secrets, toxicity
 from engramite.llm.common import table
 
 
@@ -43,6 +43,16 @@ SELECT doc_id, CAST(min(a) AS INTEGER) AS first_word, CAST(max(z) AS INTEGER) AS
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every toxic document with its probability."""
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal identifier in every document, by source characters."""
+    return pii.findings(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))

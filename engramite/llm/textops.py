@@ -111,6 +111,50 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64(found + (ends - starts).astype(U64)), np.searchsorted(starts, offs)
 
 
+def terms(column: pa.Array, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all rows and of their proper prefixes of so many bytes, and each one's row.
+
+    A prefix and a word of the same bytes have different hashes, as have prefixes of different lengths.
+    """
+    data, offs = buffers(pc.utf8_lower(column))
+    starts, ends = boundaries(data, offs)
+    if not starts.size:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    power, inverse = _power(data.size)
+    total = np.empty(data.size + 1, dtype=U64)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * power, dtype=U64, out=total[1:])
+    row = np.searchsorted(offs, starts, "right") - 1
+    size = ends - starts
+    found, rows = [mix64((total[ends] - total[starts]) * inverse[starts] + size.astype(U64))], [row]
+    for n in lengths:
+        at = starts[size > n]
+        found.append(mix64((total[at + n] - total[at]) * inverse[at] + U64((n + 1) << 40)))
+        rows.append(row[size > n])
+    return np.concatenate(found), np.concatenate(rows)
+
+
+class TermSet:
+    """Membership of hashes in a fixed set: a bitmap first, then a sorted search; gives positions in ``hashes``."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes.astype(U64))
+        bits = max(16, int(max(1, self.hashes.size * 32)).bit_length())
+        self.mask = U64((1 << bits) - 1)
+        self.bitmap = np.zeros(1 << bits, dtype=bool)
+        self.bitmap[(self.hashes & self.mask).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the hashes in the set, and where each is in it."""
+        if not self.hashes.size:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(self.bitmap[(hashes & self.mask).astype(np.int64)])
+        place = np.searchsorted(self.hashes, hashes[at])
+        place[place == self.hashes.size] = 0
+        ok = self.hashes[place] == hashes[at]
+        return at[ok], place[ok]
+
+
 def token_counts(column: pa.Array) -> np.ndarray:
     """Tokens of each row, where a word or any other character but ASCII white space is one token."""
     data, offs = buffers(column)
