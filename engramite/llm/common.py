@@ -13,6 +13,17 @@ ROW = "__engramite_row"
 BROADCAST_BYTES = 16 << 20
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,10 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder."""
+    """Cuts the lineage: the rows as a Parquet table in the shared folder; the write's own shuffles are dropped with it."""
     spark = df.sparkSession
     folder = folder or shared_dir(spark)
-    df.write.mode("overwrite").parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

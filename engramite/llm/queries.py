@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.llm import decontaminate, minhash, packing, pii, quality, secrets, toxicity
+from engramite.llm import decontaminate, katz, minhash, packing, pii, quality, secrets, toxicity
 from engramite.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability and perplexity of every document by the trigram model of all documents."""
+    return katz.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every personal identifier in every document, by source characters."""
     return pii.findings(table(spark, sf_dir, "documents"))
