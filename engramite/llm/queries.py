@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engramite.llm import decontaminate, katz, minhash, packing, pii, quality, secrets, toxicity
+from engramite.llm import chat, decontaminate, katz, minhash, packing, pii, quality, secrets, toxicity, warc
 from engramite.llm.common import table
 
 
@@ -53,6 +54,17 @@ def op6_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scored(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, streamed back as chunks with running digests."""
+    rows = warc.chunked(spark, table(spark, sf_dir, "pages"))
+    return rows.select("record_id", "target_uri", "content_length", "chunk_no", F.length("payload").alias("n_bytes"), "sha256", F.sha2("payload", 256).alias("chunk_sha256"), "last")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as canonical JSON with linked tool calls."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every personal identifier in every document, by source characters."""
     return pii.findings(table(spark, sf_dir, "documents"))
@@ -68,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL}
+    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL, "op7_warc_chunks": warc.ORACLE, "op8_chat_format": chat.ORACLE}
