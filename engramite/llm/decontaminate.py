@@ -30,7 +30,7 @@ PHRASE, SHORTEST = 8, 4
 #: Phrases searched in one pass over the shards; a larger benchmark takes several passes.
 PHRASES_PER_PASS = 1 << 20
 #: Bytes of text in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Phrases:

@@ -13,7 +13,8 @@ document's first word has no context and its second has one word; nothing crosse
 Documents become *blocks* of about ``BLOCK_TOKENS`` tokens, written once as local vocabularies and
 packed token numbers.  Each block sends every n-gram it has once, as a hash of ``KEY_BITS`` bits, to
 the bucket of the hash space it falls in; a bucket adds the counts up, and answers each block with
-the totals of its kept n-grams.  One block owns each kept n-gram and sends its probabilities to the
+the totals of its kept n-grams.  From order 3 up only n-grams go whose two parts are kept, as others
+can't be; how many of those there are once follows from the totals.  One block owns each kept n-gram and sends its probabilities to the
 bucket of its context, where the backoff weights are made, and answered likewise.  Then
 every block evaluates the recursion for each of its tokens.  No step sends an n-gram as a row of its own, none is skewed by
 frequent words, and the model stays behind as two tables partitioned by order and bucket.
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 from engramite.llm import textops
 from engramite.llm.common import removed, shared_dir, written
 
+#: A higher order keeps no n-gram that is rarer than those which a lower one keeps.
 ORDER, K, KEEP = 3, 5, {1: 1, 2: 2, 3: 2}
 KEY_BITS = 56
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 1 << 20
 #: Keys that a bucket receives, about.
-BUCKET_KEYS = 4 << 20
+BUCKET_KEYS = 2 << 20
 
-_BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, n_tokens long"
+_BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
 _SENT = "bucket int, block long, n int, keys binary, a binary, b binary, c binary"
 _REPLY = "block long, n int, bucket int, mask binary, own binary, data binary, stats array<long>"
 
@@ -96,6 +98,12 @@ def edges(buckets: int) -> np.ndarray:
     return np.array([(k << KEY_BITS) // buckets for k in range(1, buckets)], dtype=np.uint64)
 
 
+def slices(keys: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets that some of the sorted keys falls in."""
+    cuts = [0, *np.searchsorted(keys, bounds).tolist(), keys.size]
+    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
 class Block:
     """The n-grams of one block: for each order the sorted distinct keys, where each token's is among them, and counts."""
 
@@ -115,25 +123,29 @@ class Block:
                 key = textops.mix64(before * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
             at = np.flatnonzero(self.place >= n - 1)
             keys, first, kind, count = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
-            self.type[n] = np.full(self.doc.size, -1, dtype=np.int64)
+            self.type[n] = np.full(self.doc.size, -1, dtype=np.int32)
             self.type[n][at] = kind
-            self.keys[n], self.first[n], self.count[n] = keys, at[first], count
+            self.keys[n], self.first[n], self.count[n] = keys, at[first].astype(np.int32), count.astype(np.int32)
 
-    def slices(self, n: int, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-        """(bucket, from, to) of the buckets that some key of this order falls in."""
-        cuts = [0, *np.searchsorted(self.keys[n], bounds).tolist(), self.keys[n].size]
-        return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    def candidates(self, n: int, total: dict) -> np.ndarray:
+        """Which n-grams may be kept: all up to order 2, then those whose parts are."""
+        if n <= 2:
+            return np.arange(self.keys[n].size)
+        at = self.first[n]
+        return np.flatnonzero((total[n - 1][self.type[n - 1][at - 1]] > 0) & (total[n - 1][self.type[n - 1][at]] > 0))
 
-    def totals(self, replies: list[dict], bounds: np.ndarray) -> tuple[dict, dict]:
+    def totals(self, replies: list[dict], bounds: np.ndarray, orders: int = ORDER) -> tuple[dict, dict]:
         """For each order the corpus counts of kept n-grams (0 for others) and whether this block owns them."""
-        total = {n: np.zeros(k.size, dtype=np.int64) for n, k in self.keys.items()}
-        own = {n: np.zeros(k.size, dtype=bool) for n, k in self.keys.items()}
-        at = {(n, k): (a, b) for n in self.keys for k, a, b in self.slices(n, bounds)}
-        for r in replies:
-            a, b = at[r["n"], r["bucket"]]
-            mask = unpack_bits(r["mask"])
-            total[r["n"]][a:b][mask] = unpack(r["data"]).astype(np.int64)
-            own[r["n"]][a:b] = unpack_bits(r["own"])
+        total, own = {}, {}
+        for n in range(1, orders + 1):
+            total[n], own[n] = np.zeros(self.keys[n].size, dtype=np.int64), np.zeros(self.keys[n].size, dtype=bool)
+            asked = self.candidates(n, total)
+            at = {k: asked[a:b] for k, a, b in slices(self.keys[n][asked], bounds)}
+            for r in replies:
+                if r["n"] == n:
+                    places = at[r["bucket"]]
+                    total[n][places[unpack_bits(r["mask"])]] = unpack(r["data"]).astype(np.int64)
+                    own[n][places] = unpack_bits(r["own"])
         return total, own
 
     def probabilities(self, total: dict, model: Discounts) -> dict:
@@ -181,9 +193,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         order = np.argsort(-count, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(order.size)
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        row = [number, docs, pack(np.concatenate(sizes)), pack(values[order]), pack(rank[inverse]), words.size]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "docs", "sizes", "vocabulary", "tokens", "n_tokens"])
+        size_of = np.concatenate(sizes)
+        grams = [int(np.maximum(size_of - n + 1, 0).sum()) for n in range(1, ORDER + 1)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        row = [number, docs, pack(size_of), pack(values[order]), pack(rank[inverse]), grams]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "docs", "sizes", "vocabulary", "tokens", "grams"])
 
     held = 0
     for part in textops.slices(batches, "text"):
@@ -204,12 +218,28 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "block", "n", "keys", "a", "b", "c"])
 
 
-def _send_counts(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _send_first(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts of orders 1 and 2."""
     for batch in batches:
         for row in batch.to_pylist():
-            block = Block(row)
+            block = Block(row, min(2, ORDER))
             for n in block.keys:
-                yield _sent([(k, row["block"], n, pack_sorted(block.keys[n][a:b]), pack(block.count[n][a:b]), None, None) for k, a, b in block.slices(n, bounds)])
+                yield _sent([(k, row["block"], n, pack_sorted(block.keys[n][a:b]), pack(block.count[n][a:b]), None, None) for k, a, b in slices(block.keys[n], bounds)])
+
+
+def _send_next(left: pa.Table, right: pa.Table, bounds: np.ndarray, n: int) -> pa.Table:
+    """The counts of those n-grams of a higher order that may be kept."""
+    out = []
+    for row in left.to_pylist():
+        block = Block(row, n)
+        asked = block.candidates(n, block.totals(right.to_pylist(), bounds, n - 1)[0])
+        keys, count = block.keys[n][asked], block.count[n][asked]
+        out += [(k, row["block"], n, pack_sorted(keys[a:b]), pack(count[a:b]), None, None) for k, a, b in slices(keys, bounds)]
+    return pa.Table.from_batches([_sent(out)])
+
+
+def _sender(bounds: np.ndarray, n: int):
+    return lambda left, right: _send_next(left, right, bounds, n)
 
 
 def _replies(rows: list[tuple]) -> pa.Table:
@@ -226,7 +256,7 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return keys, place, cuts, first
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
+def _add_counts(table: pa.Table, model: bool) -> pa.Table:
     out = []
     rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["block"]))
     for n in sorted({r["n"] for r in rows}):
@@ -238,8 +268,9 @@ def _add_counts(table: pa.Table) -> pa.Table:
         owner[first] = kept
         of_count = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
         bucket = own_rows[0]["bucket"]
-        out.append((-1, n, bucket, None, None, None, [int(total.sum()), *of_count[1 : K + 2].tolist()]))
-        out.append((-2, n, bucket, pack_sorted(keys[kept]), None, pack(total[kept]), None))
+        out.append((-1, n, bucket, None, None, None, [int(total[kept].sum()), *of_count[1 : K + 2].tolist()]))
+        if model:
+            out.append((-2, n, bucket, pack_sorted(keys[kept]), None, pack(total[kept]), None))
         for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
             mask = kept[place[a:b]]
             out.append((r["block"], n, bucket, pack_bits(mask), pack_bits(owner[a:b]), pack(total[place[a:b]][mask]), None))
@@ -259,17 +290,21 @@ def _send_contexts(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: D
             at = block.first[n][mine]
             context, lower = block.type[n - 1][at - 1], block.type[n - 1][at]
             size = block.keys[n - 1].size
+            # a block needs the weights of contexts from which one of its own tokens backs off
+            here = np.flatnonzero(block.place >= n - 1)
+            here = here[total[n][block.type[n][here]] == 0]
+            backs = np.zeros(size, dtype=bool)
+            backs[block.type[n - 1][here - 1]] = True
             high, low = np.bincount(context, weights=p[n][mine], minlength=size), np.bincount(context, weights=p[n - 1][lower], minlength=size)
-            known = total[n - 1] > 0
-            for k, a, b in block.slices(n - 1, bounds):
-                ask = np.flatnonzero(known[a:b]) + a
-                if ask.size:
-                    has = high[ask] > 0
-                    out.append((k, row["block"], n - 1, pack_sorted(block.keys[n - 1][ask]), pack_bits(has), pack_floats(high[ask][has]), pack_floats(low[ask][has])))
+            ask = np.flatnonzero((backs & (total[n - 1] > 0)) | (high > 0))
+            for k, a, b in slices(block.keys[n - 1][ask], bounds):
+                part = ask[a:b]
+                has = high[part] > 0
+                out.append((k, row["block"], n - 1, pack_sorted(block.keys[n - 1][part]), pack_bits(has), pack_floats(high[part][has]), pack_floats(low[part][has])))
     return pa.Table.from_batches([_sent(out)])
 
 
-def _add_contexts(table: pa.Table) -> pa.Table:
+def _add_contexts(table: pa.Table, model: bool) -> pa.Table:
     out = []
     rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["block"]))
     for n in sorted({r["n"] for r in rows}):
@@ -283,10 +318,11 @@ def _add_contexts(table: pa.Table) -> pa.Table:
         weighty = high > 0
         weight = (1 - high) / (1 - low)
         bucket = own_rows[0]["bucket"]
-        out.append((-2, n, bucket, pack_sorted(keys[weighty]), None, pack_floats(weight[weighty]), None))
+        if model:
+            out.append((-2, n, bucket, pack_sorted(keys[weighty]), None, pack_floats(weight[weighty]), None))
         for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            mask = weighty[place[a:b]]
-            out.append((r["block"], -n, bucket, pack_bits(mask), None, pack_floats(weight[place[a:b]][mask]), None))
+            told = place[a:b][weighty[place[a:b]]]
+            out.append((r["block"], -n, bucket, pack_sorted(keys[told]), None, pack_floats(weight[told]), None))
     return _replies(out)
 
 
@@ -298,12 +334,10 @@ def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: Discou
         total, _ = block.totals([r for r in replies if r["n"] > 0], bounds)
         p = block.probabilities(total, model)
         backoff = {n: np.zeros(block.keys[n].size) for n in range(1, len(total))}
-        at = {(n, k): (a, b) for n in backoff for k, a, b in block.slices(n, bounds)}
         for r in replies:
             if r["n"] < 0:
-                a, b = at[-r["n"], r["bucket"]]
-                asked = np.flatnonzero(total[-r["n"]][a:b]) + a
-                backoff[-r["n"]][asked[unpack_bits(r["mask"])]] = np.log(unpack_floats(r["data"]))
+                n = -r["n"]
+                backoff[n][np.searchsorted(block.keys[n], unpack_sorted(r["mask"]))] = np.log(unpack_floats(r["data"]))
         score = np.log(p[1][block.type[1]])
         for n in range(2, len(total) + 1):
             here = np.flatnonzero(block.place >= n - 1)
@@ -326,24 +360,29 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     base = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), f"{base}/blocks")
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    bounds = edges(max(1, math.ceil(1.6 * tokens / bucket_keys)))
-    sent = blocks.mapInArrow(lambda batches: _send_counts(batches, bounds), _SENT)
-    counts = written(sent.groupBy("bucket").applyInArrow(_add_counts, _REPLY), f"{base}/counts")
-    stats = counts.where("block = -1").select("n", F.posexplode("stats")).groupBy("n", "pos").agg(F.sum("col").alias("v")).collect()
+    grams = {r.pos + 1: r.v for r in blocks.select(F.posexplode("grams")).groupBy("pos").agg(F.sum("col").alias("v")).collect()}
+    bounds = edges(max(1, math.ceil(1.6 * grams.get(1, 0) / bucket_keys)))
+    sent = blocks.mapInArrow(lambda batches: _send_first(batches, bounds), _SENT)
+    keep_model = model_dir is not None
+    counts = written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep_model), _REPLY), f"{base}/counts-2")
+    for n in range(3, ORDER + 1):
+        sent = _cogrouped(blocks, counts.where("block >= 0"), _sender(bounds, n), _SENT)
+        counts = counts.unionByName(written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep_model), _REPLY), f"{base}/counts-{n}"))
     of = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
-    for r in stats:
+    for r in counts.where("block = -1").select("n", F.posexplode("stats")).groupBy("n", "pos").agg(F.sum("col").alias("v")).collect():
         of[r.n][r.pos] = r.v
-    model = Discounts(of, of[1][0])
+    for n in range(3, ORDER + 1):
+        of[n][1] = grams.get(n, 0) - of[n][0]  # whatever isn't kept occurs once
+    model = Discounts(of, grams.get(1, 0))
     replies = counts.where("block >= 0")
     asked = _cogrouped(blocks, replies, lambda left, right: _send_contexts(left, right, bounds, model), _SENT)
-    weights = written(asked.groupBy("bucket").applyInArrow(_add_contexts, _REPLY), f"{base}/backoff")
+    weights = written(asked.groupBy("bucket").applyInArrow(lambda t: _add_contexts(t, keep_model), _REPLY), f"{base}/backoff")
     if model_dir:
         for name, kept in (("counts", counts), ("backoff", weights)):
             kept.where("block = -2").select("n", "bucket", F.col("mask").alias("keys"), F.col("data").alias("values")).write.partitionBy("n", "bucket").parquet(f"{model_dir}/{name}")
     done = _cogrouped(blocks, replies.unionByName(weights.where("block >= 0")), lambda left, right: _evaluate(left, right, bounds, model), "doc_id long, n_tokens long, logprob double")
     done = written(done, f"{base}/scores")
-    removed(spark, f"{base}/blocks", f"{base}/counts", f"{base}/backoff")
+    removed(spark, f"{base}/blocks", f"{base}/backoff", *[f"{base}/counts-{n}" for n in range(2, ORDER + 1)])
     return done.select("doc_id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 6)).alias("perplexity"))
 
 

@@ -22,9 +22,6 @@ from engramite.llm.common import col, packed, unpacked
 
 #: Sampled rows, and the longest text among them: together they bound what the driver holds.
 SAMPLE_ROWS, SAMPLE_CHARS = 512, 1 << 16
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SIGNS = "#*$%&|!~^<>{}=+_"
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,31 +32,28 @@ class Rule:
     duckdb: str = ""
 
 
-def _share(removed: str, of: str) -> str:
-    return f"(length(t) - length(translate(t, '{removed}', ''))) / CAST(nullif({of}, 0) AS DOUBLE)"
-
+def _many(name: str, chars: str, share: str) -> Rule:
+    """Rejects texts of which more than a share is characters of a class."""
+    # counted by matches in Spark, where they are rare in good texts, and by what removal leaves in DuckDB
+    java = chars.replace("\\", "\\\\")
+    return Rule(name, f"regexp_count(t, '[{java}]') > {share}D * length(t)", f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')) > CAST({share} AS DOUBLE) * length(t)")
 
-def _with(array: str, body: str) -> str:
-    """Evaluates an array once, whatever the body does with it."""
-    return f"transform(array({array}), w -> {body})[0]"
 
+def _listed(name: str, at: str, spark: str, duckdb: str) -> Rule:
+    """A predicate over the pieces ``w`` between separators, which are made once."""
+    return Rule(name, f"transform(array(split(t, '{at}')), w -> {spark})[0]", f"list_transform([string_split(t, '{at}')], lambda w: {duckdb})[1]")
 
-_WORDS = r"filter(split(t, '[ \\t\\r\\n]+'), x -> x <> '')"
-_DWORDS = r"list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda x: x <> '')"
-_LINES = r"filter(split(t, '[\\r\\n]+'), x -> trim(x) <> '')"
-_DLINES = r"list_filter(string_split_regex(t, '[\r\n]+'), lambda x: trim(x) <> '')"
-_BREAKS = "(length(t) - length(translate(t, ' \t\r\n', '')))"
 
 RULES = [
-    Rule("blank", "t IS NULL OR length(translate(t, ' \t\r\n', '')) = 0"),
-    Rule("symbols", f"{_share(_SIGNS, 'length(t)')} > 0.05"),
-    Rule("shouting", f"{_share(_UPPER, f"length(t) - length(translate(t, '{_UPPER}{_LOWER}', ''))")} > 0.5"),
-    Rule("digits", f"length(t) >= 200 AND {_share('0123456789', 'length(t)')} > 0.5"),
-    Rule("garbled", f"{_share('�\x01\x02\x03\x04\x05\x06\x07', 'length(t)')} > 0.01"),
-    Rule("word_length", f"(length(t) - {_BREAKS}) / CAST({_BREAKS} + 1 AS DOUBLE) > 30"),
-    Rule("duplicate_lines", _with(_LINES, "size(w) >= 4 AND size(array_distinct(w)) < 0.5D * size(w)"), f"len({_DLINES}) >= 4 AND len(list_distinct({_DLINES})) < CAST(0.5 AS DOUBLE) * len({_DLINES})"),
-    Rule("repeated_words", _with(_WORDS, "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x = w[i - 1])) > 0.3D * size(w)"), f"len({_DWORDS}) >= 8 AND len(list_filter(list_zip({_DWORDS}, ({_DWORDS})[2:]), lambda p: p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len({_DWORDS})"),
-    Rule("few_words", _with(_WORDS, "size(w) >= 40 AND size(array_distinct(w)) < 0.15D * size(w)"), f"len({_DWORDS}) >= 40 AND len(list_distinct({_DWORDS})) < CAST(0.15 AS DOUBLE) * len({_DWORDS})"),
+    Rule("blank", r"t IS NULL OR NOT t RLIKE '[^ \\t\\r\\n]'", r"t IS NULL OR NOT regexp_matches(t, '[^ \t\r\n]')"),
+    _many("symbols", r"#*$%&|!~\^<>{}=+_", "0.05"),
+    _many("shouting", r"\p{Lu}", "0.4"),
+    _many("garbled", r"\x{0}-\x{8}\x{FFFD}", "0.01"),
+    Rule("digits", "length(t) >= 200 AND regexp_count(t, '[0-9]') > 0.5D * length(t)", "length(t) >= 200 AND length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) > CAST(0.5 AS DOUBLE) * length(t)"),
+    Rule("word_length", "length(t) > 30 * (size(split(t, ' ')) + size(split(t, '\n')))", "length(t) > 30 * (len(string_split(t, ' ')) + len(string_split(t, '\n')))"),
+    _listed("duplicate_lines", "\n", "size(w) >= 4 AND size(array_distinct(w)) < 0.5D * size(w)", "len(w) >= 4 AND len(list_distinct(w)) < CAST(0.5 AS DOUBLE) * len(w)"),
+    _listed("repeated_words", " ", "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x <> '' AND x = w[i - 1])) > 0.3D * size(w)", "len(w) >= 8 AND len(list_filter(list_zip(w, w[2:]), lambda p: p[1] <> '' AND p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len(w)"),
+    _listed("few_words", " ", "size(w) >= 40 AND size(array_distinct(w)) < 0.15D * size(w)", "len(w) >= 40 AND len(list_distinct(w)) < CAST(0.15 AS DOUBLE) * len(w)"),
 ]
 
 

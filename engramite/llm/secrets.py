@@ -5,8 +5,8 @@ A version is a row (path, text); its blob is the SHA-256 of the text.  The ledge
 triples it hasn't seen and joins all findings back to every path that ever had the blob.
 
 Each rule names literal anchors without which it can't match.  Whether a text holds any is decided
-by substring tests beside the hash, while the table is read; only texts that hold one are moved
-and scanned, whole, so that the shuffle is a small part of the input.  Ledger entries of a run go
+by one pass of an automaton over the Arrow column, beside the hash, while the table is read; only texts
+that hold one are moved and scanned, whole, so that the shuffle is a small part of the input.  Ledger entries of a run go
 to a folder of its own and its scanned triples are written last: a run that dies leaves
 nothing that counts.
 
@@ -23,12 +23,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm.common import ROW, col, packed, shared_dir, unpacked, written
+from engramite.llm.textops import slices
 
 
 @dataclass(frozen=True)
@@ -60,16 +63,34 @@ RULES = (
 _FINDING = "blob string, rule string, version int, n int, start int, end int, digest string"
 
 
-def anchored(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Whether any rule can match the text at all."""
-    low, found = F.lower(text), F.lit(False)
-    for anchor in dict.fromkeys(a for r in rules for a in r.anchors):
-        found = found | low.contains(anchor)
-    return F.coalesce(found, F.lit(False))
+def anchored(column: pa.Array, rules: tuple[Rule, ...] = RULES) -> pa.Array:
+    """Whether any rule can match each text at all; ASCII letters of either case count as their anchors'."""
+    any_of = "|".join(re.escape(a) for a in dict.fromkeys(a for r in rules for a in r.anchors))
+    return pc.fill_null(pc.match_substring_regex(column, f"(?i:{any_of})"), False)
 
 
-def blob(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+def blob(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _address(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+    """Replaces each text by its blob, and by itself only where it has an anchor."""
+    for part in slices(batches, "text"):
+        text = part.column("text")
+        blobs = pa.array(map(blob, text.to_pylist()), pa.string())
+        hot = anchored(text, rules).to_numpy(zero_copy_only=False)
+        kept = text.take(pa.array(np.arange(len(text)), mask=~hot))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("path"), blobs, kept], names=["doc_id", "path", "blob", "text"])
+
+
+def _split(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], hot: bool) -> Iterator[pa.RecordBatch]:
+    """The packed rows whose text has an anchor, with their blobs, or the others."""
+    for part in slices(batches, "t"):
+        found = anchored(part.column("t"), rules)
+        part = part.filter(found if hot else pc.invert(found))
+        if hot:
+            part = part.append_column("blob", pa.array(map(blob, part.column("t").to_pylist()), pa.string()))
+        yield part if hot else part.select([ROW])
 
 
 def _scan(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +140,8 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
 
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, path, blob, rule, version, n, start, end, digest): every finding in every row, by character offsets."""
-    text = F.col("t")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
-    staged = written(rows.select("doc_id", "path", blob(text).alias("blob"), F.when(anchored(text, rules), text).alias("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    staged = written(rows.mapInArrow(lambda batches: _address(batches, rules), "doc_id long, path string, blob string, text string"))
     return staged.select("doc_id", "path", "blob").join(update(staged.select("blob", "text"), ledger or shared_dir(docs.sparkSession), rules), "blob").select("doc_id", "path", "blob", "rule", "version", "n", "start", "end", "digest")
 
 
@@ -146,8 +166,8 @@ def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", s
     Texts without an anchor pass by without a shuffle.
     """
     rows = packed(docs.withColumn(text_col, col(text_col).cast("string")), t=col(text_col).cast("string"))
-    plain = rows.where(~anchored(F.col("t"), rules))
-    hot = rows.where(anchored(F.col("t"), rules)).withColumn("blob", blob(F.col("t")))
+    plain = rows.mapInArrow(lambda batches: _split(batches, rules, False), rows.select(ROW).schema)
+    hot = written(rows.mapInArrow(lambda batches: _split(batches, rules, True), rows.withColumn("blob", F.lit("")).schema))
     found = update(hot.select("blob", F.col("t").alias("text")), ledger or shared_dir(docs.sparkSession), rules)
     spans = found.groupBy("blob").agg(F.collect_list(F.struct("start", "end", "rule")).alias("spans"))
     done = hot.join(spans, "blob", "left").select(ROW, "t", "spans")
@@ -155,7 +175,7 @@ def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", s
     row = F.col(ROW).withField(f"`{text_col}`", F.col("t"))
     if size_col in docs.columns:
         row = row.withField(f"`{size_col}`", F.length("t").cast(docs.schema[size_col].dataType))
-    return unpacked(plain.select(ROW).union(done.select(row.alias(ROW))))
+    return unpacked(plain.union(done.select(row.alias(ROW))))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

@@ -23,7 +23,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {"m": np.ones(1, dtype=U64), "i": np.ones(1, dtype=U64)}
 
 #: Bytes of text handled at a time; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
