@@ -56,9 +56,14 @@ _SPELLED = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
 _DOT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:dot|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+dot[ \t]+)"
 _AT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:at|@)[ \t]*{_CLOSE}[ \t]*|[ \t]+at[ \t]+|[ \t]+@[ \t]+|[ \t]+@|@[ \t]+)"
-_HOST = r"[A-Za-z0-9-]+"
+_HOST = r"(?!(?i:dot)\b)[A-Za-z0-9-]+"
 #: A disguised address: an at of some kind, then host parts joined by dots of some kind.
-_ADDRESS = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:@|{_AT})(?={_HOST}(?:(?:\.|{_DOT}){_HOST})+)")
+_ADDRESS = re.compile(rf"(?i)(?<=[A-Za-z0-9])(?:@|{_AT})(?![A-Za-z0-9._%+-]*@)(?={_HOST}(?:(?:\.|{_DOT}){_HOST})+)")
+_BARE_AT = re.compile(r"(?i)[ \t]+at[ \t]+")
+_PLAIN_HOST = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9]")
+#: Words that come before the preposition: "look at example.com" is no address, "jane at example.com" is one.
+_BEFORE_AT = frozenset("me us him her them it you here there is are was were be been am and or not now look looks looked looking meet met see seen saw visit found find live lives online hosted available located page site website blog shop store read more out up arrive arrived stay stayed stop".split())
+_LAST_WORD = re.compile(r"[A-Za-z]+$")
 _DOTS = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W\d_])(?:{_SPELLED}|(?<![\d])\d(?!\d))(?:[ \t,-]{{1,3}}(?:{_SPELLED}|\d(?!\d))){{6,}}(?![^\W_])")
 _SPELLED_ONE = re.compile(rf"(?i){_SPELLED}|\d")
@@ -123,13 +128,23 @@ class Mapped:
         self.start, self.end = np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]])
 
 
+def _disguised(m: re.Match) -> bool:
+    """Whether a match of ``_ADDRESS`` has to be rewritten and isn't just the preposition."""
+    if m.group() == "@":
+        return False
+    if _BARE_AT.fullmatch(m.group()) and _PLAIN_HOST.match(m.string, m.end()):
+        before = _LAST_WORD.search(m.string[max(0, m.start() - 20) : m.start()])
+        return not before or before.group().lower() not in _BEFORE_AT
+    return True
+
+
 def normalised(source: str) -> Mapped:
     """The text after both transducers."""
     mapped = Mapped(source)
     if not source.isascii():
         mapped.text = source.translate(FOLD)
         mapped.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", mapped.text)])
-    mapped.rewrite([(m.start(), m.end(), "@") for m in _ADDRESS.finditer(mapped.text) if m.group() != "@"])
+    mapped.rewrite([(m.start(), m.end(), "@") for m in _ADDRESS.finditer(mapped.text) if _disguised(m)])
     if "@" in mapped.text:
         # dots count as disguised only in the host and the name around an at
         edits = []
