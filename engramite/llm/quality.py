@@ -53,7 +53,8 @@ RULES = [
     Rule("word_length", "length(t) > 30 * (size(split(t, ' ')) + size(split(t, '\n')))", "length(t) > 30 * (len(string_split(t, ' ')) + len(string_split(t, '\n')))"),
     _listed("duplicate_lines", "\n", "size(w) >= 4 AND size(array_distinct(w)) < 0.5D * size(w)", "len(w) >= 4 AND len(list_distinct(w)) < CAST(0.5 AS DOUBLE) * len(w)"),
     _listed("repeated_words", " ", "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x <> '' AND x = w[i - 1])) > 0.3D * size(w)", "len(w) >= 8 AND len(list_filter(list_zip(w, w[2:]), lambda p: p[1] <> '' AND p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len(w)"),
-    _listed("few_words", " ", "size(w) >= 40 AND size(array_distinct(w)) < 0.15D * size(w)", "len(w) >= 40 AND len(list_distinct(w)) < CAST(0.15 AS DOUBLE) * len(w)"),
+    # vocabularies grow like the square root of a text, so a share would reject every long text
+    _listed("few_words", " ", "size(w) >= 40 AND size(array_distinct(w)) < 1.5D * sqrt(size(w))", "len(w) >= 40 AND len(list_distinct(w)) < CAST(1.5 AS DOUBLE) * sqrt(len(w))"),
 ]
 
 
