@@ -120,7 +120,7 @@ class LabelModel:
 
     def __init__(self, masks: np.ndarray, counts: np.ndarray, rounds: int = 60) -> None:
         self.bits = ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(np.int64)
-        weight = counts.astype(np.float64)
+        weight = self.weight = counts.astype(np.float64)
         fired = self.bits.sum(axis=1)
         belief = np.select([fired >= 2, fired == 1], [0.95, 0.4], 0.01)
         self.parent = np.full(VOTERS, -1)
@@ -175,8 +175,8 @@ class LabelModel:
 
     def accuracies(self) -> np.ndarray:
         """Each voter's chance to fire on a toxic document, and its precision, over the counted masks."""
-        post = np.array([self.by_mask[m] for m in self.by_mask])
-        return np.array([[(post @ b) / max(post.sum(), 1e-9), (post @ b) / max(b.sum(), 1e-9)] for b in self.bits.T])
+        toxic = self.weight * self.posterior(self.bits)
+        return np.array([[(toxic @ b) / max(toxic.sum(), 1e-9), (toxic @ b) / max(self.weight @ b, 1e-9)] for b in self.bits.T])
 
 
 class Linear:
