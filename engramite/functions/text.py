@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramite.functions.normalize import trimmed
 from engramite.schema import EMBEDDING_DIM
@@ -63,7 +64,7 @@ def embedded(df: DataFrame, text: str, into: str = "embedding", dim: int = EMBED
     Rows stay where they are: no explode, no shuffle.  A column named ``into`` is replaced.
     """
     kept = [c for c in df.columns if c != into]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, "array<float>")
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

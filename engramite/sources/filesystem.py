@@ -112,8 +112,8 @@ def snapshot(spark: SparkSession, root: str, **options) -> DataFrame:
     paths = list_files(root, **options)
     if not paths:
         return spark.createDataFrame([], "path string, relative_path string, size long, mtime_us long, sig string, content binary")
-    raw = spark.read.format("binaryFile").load(["file://" + p.replace("%", "%25").replace(" ", "%20") if re.search(r"[ %]", p) else p for p in paths])
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    raw = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    path = F.regexp_replace("path", "^file:/+", "/")
     return raw.select(path.alias("path"), F.substring(path, len(root) + 2, 1 << 30).alias("relative_path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"), F.sha2("content", 256).alias("sig"), "content")
 
 
