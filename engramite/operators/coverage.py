@@ -68,7 +68,8 @@ def components(signals: DataFrame, signal_nodes: DataFrame, signal_outcomes: Dat
 def evaluate(signals: DataFrame, signal_nodes: DataFrame, signal_outcomes: DataFrame, as_of_us: int, config: CoverageConfig = CoverageConfig()) -> DataFrame:  # noqa: B008
     """(signal_id, decision, decision_confidence, coverage, uncertainty, risk, the components).
 
-    Scores are compared with thresholds after rounding to SCORE_DIGITS.
+    Scores are compared with thresholds after rounding to SCORE_DIGITS; halves go up even if float
+    noise has them just below.
     """
     w, t, least = config.weights, config.thresholds, float(config.min_context_nodes)
     parts = components(signals, signal_nodes, signal_outcomes, as_of_us, config)
@@ -76,7 +77,7 @@ def evaluate(signals: DataFrame, signal_nodes: DataFrame, signal_outcomes: DataF
     few = clamp((F.lit(least) - F.col("n_nodes")) / max(least, 1.0))
     uncertainty = clamp((F.lit(1.0) - F.col("semantic_coverage")) * 0.45 + F.col("spread") * 0.25 + few * 0.20 + F.col("known_unknowns") * 0.10)
     risk = clamp(F.col("failing") * 0.45 + (F.lit(1.0) - F.col("consistency")) * 0.25 + (F.lit(1.0) - F.col("freshness")) * 0.15 + F.col("criticality") * 0.15)
-    scored = parts.select("signal_id", *COMPONENTS, *[F.round(x, SCORE_DIGITS).alias(n) for n, x in (("raw_coverage", coverage), ("uncertainty", uncertainty), ("risk", risk))])
+    scored = parts.select("signal_id", *COMPONENTS, *[F.round(x + 1e-10, SCORE_DIGITS).alias(n) for n, x in (("raw_coverage", coverage), ("uncertainty", uncertainty), ("risk", risk))])
     c, u, r = F.col("raw_coverage"), F.col("uncertainty"), F.col("risk")
     decision = (
         F.when((c >= t["act_coverage"]) & (u <= t["act_max_uncertainty"]) & (r <= t["act_max_risk"]), "act")

@@ -128,9 +128,9 @@ parts AS (SELECT x.signal_id, coalesce(semantic, 0) AS semantic_coverage, 1 - (l
   coalesce(n_nodes, 0) AS n_nodes, least(greatest(known_unknowns, 0), 1) AS known_unknowns, coalesce(goal_criticality, 0.5) AS criticality
   FROM signal_scalars x LEFT JOIN nn ON nn.signal_id = x.signal_id LEFT JOIN oo ON oo.signal_id = x.signal_id),
 scored AS (SELECT signal_id, semantic_coverage, consistency, freshness, graph_support, outcome_reliability,
-  round(semantic_coverage * 0.4e0 + consistency * 0.2e0 + freshness * 0.15e0 + graph_support * 0.15e0 + outcome_reliability * 0.1e0, 6) AS coverage,
-  round(least((1 - semantic_coverage) * 0.45e0 + spread * 0.25e0 + least(greatest((3 - n_nodes) / 3e0, 0), 1) * 0.2e0 + known_unknowns * 0.1e0, 1), 6) AS uncertainty,
-  round(least(failing * 0.45e0 + (1 - consistency) * 0.25e0 + (1 - freshness) * 0.15e0 + criticality * 0.15e0, 1), 6) AS risk FROM parts),
+  round(semantic_coverage * 0.4e0 + consistency * 0.2e0 + freshness * 0.15e0 + graph_support * 0.15e0 + outcome_reliability * 0.1e0 + 1e-10, 6) AS coverage,
+  round(least((1 - semantic_coverage) * 0.45e0 + spread * 0.25e0 + least(greatest((3 - n_nodes) / 3e0, 0), 1) * 0.2e0 + known_unknowns * 0.1e0, 1) + 1e-10, 6) AS uncertainty,
+  round(least(failing * 0.45e0 + (1 - consistency) * 0.25e0 + (1 - freshness) * 0.15e0 + criticality * 0.15e0, 1) + 1e-10, 6) AS risk FROM parts),
 decided AS (SELECT *, CASE WHEN coverage >= 0.72e0 AND uncertainty <= 0.35e0 AND risk <= 0.45e0 THEN 'act' WHEN coverage >= 0.45e0 AND uncertainty <= 0.7e0 AND risk <= 0.75e0 THEN 'learn' ELSE 'escalate' END AS decision FROM scored),
 evaluated AS (SELECT *, round(CASE decision WHEN 'act' THEN (coverage + (1 - uncertainty) + (1 - risk)) / 3 WHEN 'learn' THEN coverage * 0.6e0 + (1 - uncertainty) * 0.4e0 ELSE greatest(uncertainty, risk) END, 6) AS decision_confidence FROM decided)"""
 _SIGNALS = ("signal_nodes", "signal_outcomes", "signal_scalars")
@@ -140,10 +140,10 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.evaluate(*[view(spark, sf, n) for n in ("signal_scalars", "signal_nodes", "signal_outcomes")], AS_OF_US)
 
 
-@query(oracle(f"WITH {_EVALUATED} SELECT signal_id, round(semantic_coverage, 6) AS semantic_coverage, round(consistency, 6) AS consistency, round(freshness, 6) AS freshness, round(graph_support, 6) AS graph_support, round(outcome_reliability, 6) AS outcome_reliability FROM parts", *_SIGNALS))
+@query(oracle(f"WITH {_EVALUATED} SELECT signal_id, round(semantic_coverage + 1e-10, 6) AS semantic_coverage, round(consistency + 1e-10, 6) AS consistency, round(freshness + 1e-10, 6) AS freshness, round(graph_support + 1e-10, 6) AS graph_support, round(outcome_reliability + 1e-10, 6) AS outcome_reliability FROM parts", *_SIGNALS))
 def coverage_components(spark: SparkSession, sf: str) -> DataFrame:
     out = coverage.components(*[view(spark, sf, n) for n in ("signal_scalars", "signal_nodes", "signal_outcomes")], AS_OF_US)
-    return out.select("signal_id", *[F.round(c, 6).alias(c) for c in coverage.COMPONENTS])
+    return out.select("signal_id", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in coverage.COMPONENTS])
 
 
 @query(oracle(f"WITH {_EVALUATED} SELECT signal_id, decision, decision_confidence, coverage, uncertainty, risk FROM evaluated", *_SIGNALS))
