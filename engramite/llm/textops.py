@@ -7,6 +7,7 @@ lower-cased text is the n-th word of the source text whatever happens to byte of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[str, np.ndarray] = {"m": np.ones(1, dtype=U64), "i": np.ones(1, dtype=U64)}
 
 #: Bytes of text handled at a time; one longer text is a slice of its own.
@@ -69,6 +71,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release() -> None:
+    """Gives memory that the worker holds but doesn't use back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -79,6 +88,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = max(at + 1, int(np.searchsorted(total, done + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+        del batch
+        release()
 
 
 def boundaries(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
