@@ -86,10 +86,10 @@ class CoverageConfig:
     """Weights, thresholds and targets of coverage scoring."""
 
     weights: dict[str, float] = field(
-        default_factory=lambda: {"semantic_coverage": 0.40, "consistency": 0.20, "freshness": 0.15, "graph_support": 0.15, "outcome_reliability": 0.10}
+        default_factory=lambda: {"outcome_reliability": 0.10, "graph_support": 0.15, "freshness": 0.15, "consistency": 0.20, "semantic_coverage": 0.40}
     )
     thresholds: dict[str, float] = field(
-        default_factory=lambda: {"act_coverage": 0.72, "act_max_uncertainty": 0.35, "act_max_risk": 0.45, "learn_coverage": 0.45, "learn_max_uncertainty": 0.70, "learn_max_risk": 0.75}
+        default_factory=lambda: {"act_max_risk": 0.45, "learn_max_risk": 0.75, "act_max_uncertainty": 0.35, "learn_max_uncertainty": 0.70, "act_coverage": 0.72, "learn_coverage": 0.45}
     )
     top_k: int = 8
     min_context_nodes: int = 3
