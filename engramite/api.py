@@ -7,7 +7,10 @@ in ``engramite.operators`` and works on the DataFrames that :attr:`Engine.db` re
 from __future__ import annotations
 
 import json
+import math
 import uuid
+import warnings
+from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
 
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from engramite import schema
 from engramite.functions import normalize as N
+from engramite.functions.scoring import TINY
 from engramite.functions.text import hashed_vector
 from engramite.operators import consolidate, coverage, goals, learn, relations, retrieve, similarity
 from engramite.schema import ConsolidationConfig, CoverageConfig, RetrievalConfig
@@ -64,9 +68,13 @@ def _pick(value: object, allowed: tuple[str, ...], default: str) -> str:
 
 
 class Engine:
-    """A knowledge graph in ``root``; ``dim`` is the length of the hashed vectors of new content."""
+    """A knowledge graph in ``root``; ``dim`` is the length of the vectors of new content.
 
-    def __init__(self, spark: SparkSession, root: str, dim: int = schema.EMBEDDING_DIM, learning_rate: float = schema.LEARNING_RATE, consolidation: ConsolidationConfig = ConsolidationConfig()) -> None:  # noqa: B008
+    ``embedder`` is a model's function; where there is none, or it fails on a text, the hashing embedder steps in.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, dim: int = schema.EMBEDDING_DIM, learning_rate: float = schema.LEARNING_RATE, consolidation: ConsolidationConfig = ConsolidationConfig(), embedder: Callable[[str], list[float]] | None = None) -> None:  # noqa: B008
+        self.embedder = embedder
         self.spark, self.dim, self.rate, self.consolidation = spark, dim, learning_rate, consolidation
         self.db = Database(spark, root)
         self.db.migrate()
@@ -97,6 +105,14 @@ class Engine:
     # nodes and edges
 
     def embed(self, text: str) -> list[float]:
+        if self.embedder:
+            try:
+                made = [float(x) for x in self.embedder(text)][: self.dim]
+                made += [0.0] * (self.dim - len(made))
+                norm = math.sqrt(sum(x * x for x in made))
+                return made if norm <= TINY else [x / norm for x in made]
+            except Exception as failed:
+                warnings.warn(f"the embedder failed, a hashed vector is used: {failed}", stacklevel=2)
         return hashed_vector(text, self.dim).tolist()
 
     def store_node(self, content: str, node_type: str = "semantic", confidence: float = 0.5, embedding: list[float] | None = None, metadata: dict | None = None, source: str | None = None, id: str | None = None) -> dict:  # noqa: A002

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramite.functions import text
-from engramite.operators import consolidate, learn
+from engramite.operators import consolidate, learn, telemetry
 from engramite.plans.collect import registrar
 from engramite.plans.views import AS_OF_US, oracle, table, view
 from engramite.sources import filesystem, tables
@@ -193,3 +193,15 @@ def gitignore_filter(spark: SparkSession, sf: str) -> DataFrame:
 
     path = F.concat(F.lit("/"), F.regexp_replace("url", "^[a-z]+://", ""))
     return table(spark, sf, "pages").select(path.alias("path"), drops(path).alias("ignored"))
+
+
+@query(oracle(f"""WITH {_UPDATES}, {_fates(1)},
+t AS (SELECT action_id, count(*) AS processed, sum(CASE WHEN result = 'updated' THEN 1 ELSE 0 END) AS updated, sum(CASE WHEN result <> 'updated' THEN 1 ELSE 0 END) AS skipped FROM updates GROUP BY action_id)
+SELECT 'outcome_processed' AS event, action_id AS subject, m.measure, m.value::DOUBLE AS value FROM t, LATERAL (VALUES ('processed', processed), ('updated', updated), ('skipped', skipped)) m(measure, value)
+UNION ALL SELECT 'node_' || fate, id, m.measure, round(m.value, 9) FROM fated, LATERAL (VALUES ('old', old_confidence), ('new', new_confidence)) m(measure, value) WHERE fate <> 'unchanged'
+UNION ALL SELECT 'consolidation_cycle', 'all', f.fate, (SELECT count(*) FROM fated x WHERE x.fate = f.fate)::DOUBLE FROM (VALUES ('decayed'), ('pruned'), ('unchanged')) f(fate)""", "nodes", "outcomes"))
+def telemetry_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of all outcomes and of one cycle of consolidation."""
+    fated = consolidate.fates(view(spark, sf, "nodes"))
+    parts = telemetry.outcome_events(learn_tallies(spark, sf)), telemetry.fate_events(fated), telemetry.cycle_events(fated)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("value", F.round("value", DIGITS))

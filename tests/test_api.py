@@ -83,3 +83,11 @@ def test_arguments():
     args = cli.parser().parse_args(["scan", "/x", "--extensions", "md,txt"])
     assert args.extensions == ["md", "txt"] and args.action == "scan"
     assert cli.main(["--decay-rate", "3", "serve"]) == 2
+
+
+def test_embedding_backends(spark, tmp_path):
+    model = Engine(spark, f"file://{tmp_path}/a", dim=3, embedder=lambda text: [3.0, 4.0])
+    assert model.embed("x") == [0.6, 0.8, 0.0]
+    broken = Engine(spark, f"file://{tmp_path}/b", dim=64, embedder=lambda text: 1 / 0)
+    with pytest.warns(UserWarning, match="hashed"):
+        assert broken.embed("some words") == Engine(spark, f"file://{tmp_path}/c", dim=64).embed("some words")
