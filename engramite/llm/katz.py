@@ -145,7 +145,8 @@ class Block:
                 if r["n"] == n:
                     places = at[r["bucket"]]
                     total[n][places[unpack_bits(r["mask"])]] = unpack(r["data"]).astype(np.int64)
-                    own[n][places] = unpack_bits(r["own"])
+                    if r["own"] is not None:
+                        own[n][places] = unpack_bits(r["own"])
         return total, own
 
     def probabilities(self, total: dict, model: Discounts) -> dict:
@@ -380,7 +381,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     if model_dir:
         for name, kept in (("counts", counts), ("backoff", weights)):
             kept.where("block = -2").select("n", "bucket", F.col("mask").alias("keys"), F.col("data").alias("values")).write.partitionBy("n", "bucket").parquet(f"{model_dir}/{name}")
-    done = _cogrouped(blocks, replies.unionByName(weights.where("block >= 0")), lambda left, right: _evaluate(left, right, bounds, model), "doc_id long, n_tokens long, logprob double")
+    told = replies.withColumn("own", F.lit(None).cast("binary"))  # ownership has done its part
+    done = _cogrouped(blocks, told.unionByName(weights.where("block >= 0")), lambda left, right: _evaluate(left, right, bounds, model), "doc_id long, n_tokens long, logprob double")
     done = written(done, f"{base}/scores")
     removed(spark, f"{base}/blocks", f"{base}/backoff", *[f"{base}/counts-{n}" for n in range(2, ORDER + 1)])
     return done.select("doc_id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 6)).alias("perplexity"))
