@@ -149,6 +149,14 @@ class Block:
                         own[n][places] = unpack_bits(r["own"])
         return total, own
 
+    def backing(self, n: int, total: dict) -> np.ndarray:
+        """The kept contexts of order n-1 from which one of the block's own tokens backs off, in order."""
+        here = np.flatnonzero(self.place >= n - 1)
+        here = here[total[n][self.type[n][here]] == 0]
+        backs = np.zeros(self.keys[n - 1].size, dtype=bool)
+        backs[self.type[n - 1][here - 1]] = True
+        return np.flatnonzero(backs & (total[n - 1] > 0))
+
     def probabilities(self, total: dict, model: Discounts) -> dict:
         """The discounted probability of each kept n-gram after its context; 0 for others."""
         out = {1: model.discounted(1, total[1]) / (model.tokens + 1)}
@@ -291,17 +299,14 @@ def _send_contexts(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: D
             at = block.first[n][mine]
             context, lower = block.type[n - 1][at - 1], block.type[n - 1][at]
             size = block.keys[n - 1].size
-            # a block needs the weights of contexts from which one of its own tokens backs off
-            here = np.flatnonzero(block.place >= n - 1)
-            here = here[total[n][block.type[n][here]] == 0]
-            backs = np.zeros(size, dtype=bool)
-            backs[block.type[n - 1][here - 1]] = True
+            need = np.zeros(size, dtype=bool)
+            need[block.backing(n, total)] = True
             high, low = np.bincount(context, weights=p[n][mine], minlength=size), np.bincount(context, weights=p[n - 1][lower], minlength=size)
-            ask = np.flatnonzero((backs & (total[n - 1] > 0)) | (high > 0))
+            ask = np.flatnonzero(need | (high > 0))
             for k, a, b in slices(block.keys[n - 1][ask], bounds):
                 part = ask[a:b]
                 has = high[part] > 0
-                out.append((k, row["block"], n - 1, pack_sorted(block.keys[n - 1][part]), pack_bits(has), pack_floats(high[part][has]), pack_floats(low[part][has])))
+                out.append((k, row["block"], n - 1, pack_sorted(block.keys[n - 1][part]), pack_bits(np.concatenate([has, need[part]])), pack_floats(high[part][has]), pack_floats(low[part][has])))
     return pa.Table.from_batches([_sent(out)])
 
 
@@ -313,7 +318,7 @@ def _add_contexts(table: pa.Table, model: bool) -> pa.Table:
         keys, place, cuts, _ = _merged(own_rows)
         high, low = np.zeros(keys.size), np.zeros(keys.size)
         for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            has = place[a:b][unpack_bits(r["a"])]
+            has = place[a:b][unpack_bits(r["a"])[: b - a]]
             high[has] += unpack_floats(r["b"])
             low[has] += unpack_floats(r["c"])
         weighty = high > 0
@@ -322,8 +327,11 @@ def _add_contexts(table: pa.Table, model: bool) -> pa.Table:
         if model:
             out.append((-2, n, bucket, pack_sorted(keys[weighty]), None, pack_floats(weight[weighty]), None))
         for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            told = place[a:b][weighty[place[a:b]]]
-            out.append((r["block"], -n, bucket, pack_sorted(keys[told]), None, pack_floats(weight[told]), None))
+            # the block knows which contexts it needs, so a bit for each tells where a weight follows
+            needed = place[a:b][unpack_bits(r["a"])[b - a :]]
+            if needed.size:
+                told = weighty[needed]
+                out.append((r["block"], -n, bucket, pack_bits(told), None, pack_floats(weight[needed[told]]), None))
     return _replies(out)
 
 
@@ -335,10 +343,12 @@ def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: Discou
         total, _ = block.totals([r for r in replies if r["n"] > 0], bounds)
         p = block.probabilities(total, model)
         backoff = {n: np.zeros(block.keys[n].size) for n in range(1, len(total))}
-        for r in replies:
-            if r["n"] < 0:
-                n = -r["n"]
-                backoff[n][np.searchsorted(block.keys[n], unpack_sorted(r["mask"]))] = np.log(unpack_floats(r["data"]))
+        for n in backoff:
+            need = block.backing(n + 1, total)
+            at = {k: need[x:y] for k, x, y in slices(block.keys[n][need], bounds)}
+            for r in replies:
+                if r["n"] == -n:
+                    backoff[n][at[r["bucket"]][unpack_bits(r["mask"])]] = np.log(unpack_floats(r["data"]))
         score = np.log(p[1][block.type[1]])
         for n in range(2, len(total) + 1):
             here = np.flatnonzero(block.place >= n - 1)
