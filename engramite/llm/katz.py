@@ -1,6 +1,6 @@
 """Language-model scoring by Katz backoff over all documents.
 
-Counts of n-grams from ``KEEP[n]`` up are discounted by Good-Turing (counts above ``K`` aren't), and
+Counts of n-grams from ``keep[n]`` up (``EVERY``: of all n-grams) are discounted by Good-Turing (counts above ``K`` aren't), and
 what a context has left goes to its backoff weight, which is normalised exactly:
 
     P(w|h) = d(c(hw)) c(hw) / (c(h) + 1)     if hw is kept
@@ -13,9 +13,10 @@ document's first word has no context and its second has one word; nothing crosse
 Documents become *blocks* of about ``BLOCK_TOKENS`` tokens, written once as local vocabularies and
 packed token numbers.  Each block sends every n-gram it has once, as a hash of ``KEY_BITS`` bits, to
 the bucket of the hash space it falls in; a bucket adds the counts up, and answers each block with
-the totals of its kept n-grams.  From order 3 up only n-grams go whose two parts are kept, as others
+the totals of its kept n-grams.  Where a lower order drops n-grams only those go whose two parts are kept, as others
 can't be; how many of those there are once follows from the totals.  One block owns each kept n-gram and sends its probabilities to the
-bucket of its context, where the backoff weights are made, and answered likewise.  Then
+bucket of its context, where the backoff weights are made, and answered likewise.  If every n-gram is
+kept, no token of these documents backs off, and the weights are made only for a model that stays.  Then
 every block evaluates the recursion for each of its tokens.  No step sends an n-gram as a row of its own, none is skewed by
 frequent words, and the model stays behind as two tables partitioned by order and bucket.
 
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from engramite.llm import textops
 from engramite.llm.common import removed, shared_dir, written
 
-#: A higher order keeps no n-gram that is rarer than those which a lower one keeps.
-ORDER, K, KEEP = 3, 5, {1: 1, 2: 2, 3: 2}
+#: Least count of a kept n-gram. A higher order keeps none that is rarer than those which a lower one keeps.
+ORDER, K, KEEP, EVERY = 3, 5, {1: 1, 2: 2, 3: 2}, {1: 1, 2: 1, 3: 1}
 KEY_BITS = 56
 BLOCK_TOKENS = 1 << 20
 #: Keys that a bucket receives, about.
@@ -104,11 +105,16 @@ def slices(keys: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
     return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
+def unfiltered(keep: dict[int, int]) -> int:
+    """The highest order of which every n-gram may be kept, as all lower orders keep all."""
+    return next((n for n in range(1, ORDER) if keep[n] > 1), ORDER)
+
+
 class Block:
     """The n-grams of one block: for each order the sorted distinct keys, where each token's is among them, and counts."""
 
-    def __init__(self, row: dict, orders: int = ORDER) -> None:
-        self.docs = row["docs"]
+    def __init__(self, row: dict, keep: dict[int, int], orders: int = ORDER) -> None:
+        self.docs, self.keep = row["docs"], keep
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         offs = np.concatenate([[0], np.cumsum(self.sizes)])
         self.doc = np.repeat(np.arange(self.sizes.size), self.sizes)
@@ -128,8 +134,8 @@ class Block:
             self.keys[n], self.first[n], self.count[n] = keys, at[first].astype(np.int32), count.astype(np.int32)
 
     def candidates(self, n: int, total: dict) -> np.ndarray:
-        """Which n-grams may be kept: all up to order 2, then those whose parts are."""
-        if n <= 2:
+        """Which n-grams may be kept: all if the order below keeps all, else those whose parts are."""
+        if n <= unfiltered(self.keep):
             return np.arange(self.keys[n].size)
         at = self.first[n]
         return np.flatnonzero((total[n - 1][self.type[n - 1][at - 1]] > 0) & (total[n - 1][self.type[n - 1][at]] > 0))
@@ -227,28 +233,28 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "block", "n", "keys", "a", "b", "c"])
 
 
-def _send_first(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The counts of orders 1 and 2."""
+def _send_all(batches: Iterator[pa.RecordBatch], bounds: np.ndarray, keep: dict[int, int], orders: list[int]) -> Iterator[pa.RecordBatch]:
+    """The counts of all n-grams of some orders."""
     for batch in batches:
         for row in batch.to_pylist():
-            block = Block(row, min(2, ORDER))
-            for n in block.keys:
+            block = Block(row, keep, orders[-1])
+            for n in orders:
                 yield _sent([(k, row["block"], n, pack_sorted(block.keys[n][a:b]), pack(block.count[n][a:b]), None, None) for k, a, b in slices(block.keys[n], bounds)])
 
 
-def _send_next(left: pa.Table, right: pa.Table, bounds: np.ndarray, n: int) -> pa.Table:
+def _send_next(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], n: int) -> pa.Table:
     """The counts of those n-grams of a higher order that may be kept."""
     out = []
     for row in left.to_pylist():
-        block = Block(row, n)
+        block = Block(row, keep, n)
         asked = block.candidates(n, block.totals(right.to_pylist(), bounds, n - 1)[0])
         keys, count = block.keys[n][asked], block.count[n][asked]
         out += [(k, row["block"], n, pack_sorted(keys[a:b]), pack(count[a:b]), None, None) for k, a, b in slices(keys, bounds)]
     return pa.Table.from_batches([_sent(out)])
 
 
-def _sender(bounds: np.ndarray, n: int):
-    return lambda left, right: _send_next(left, right, bounds, n)
+def _sender(bounds: np.ndarray, keep: dict[int, int], n: int):
+    return lambda left, right: _send_next(left, right, bounds, keep, n)
 
 
 def _replies(rows: list[tuple]) -> pa.Table:
@@ -265,14 +271,14 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return keys, place, cuts, first
 
 
-def _add_counts(table: pa.Table, model: bool) -> pa.Table:
+def _add_counts(table: pa.Table, keep: dict[int, int], model: bool, weights: bool) -> pa.Table:
     out = []
     rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["block"]))
     for n in sorted({r["n"] for r in rows}):
         own_rows = [r for r in rows if r["n"] == n]
         keys, place, cuts, first = _merged(own_rows)
         total = np.bincount(place, weights=np.concatenate([unpack(r["a"]) for r in own_rows])).astype(np.int64)
-        kept = total >= KEEP[n]
+        kept = total >= keep[n]
         owner = np.zeros(place.size, dtype=bool)
         owner[first] = kept
         of_count = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
@@ -282,16 +288,16 @@ def _add_counts(table: pa.Table, model: bool) -> pa.Table:
             out.append((-2, n, bucket, pack_sorted(keys[kept]), None, pack(total[kept]), None))
         for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
             mask = kept[place[a:b]]
-            out.append((r["block"], n, bucket, pack_bits(mask), pack_bits(owner[a:b]), pack(total[place[a:b]][mask]), None))
+            out.append((r["block"], n, bucket, pack_bits(mask), pack_bits(owner[a:b]) if weights else None, pack(total[place[a:b]][mask]), None))
     return _replies(out)
 
 
-def _send_contexts(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: Discounts) -> pa.Table:
+def _send_contexts(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], model: Discounts) -> pa.Table:
     """What a block asks of and tells about the contexts in it: kept keys, and the sums over n-grams it owns."""
     out = []
     replies = right.to_pylist()
     for row in left.to_pylist():
-        block = Block(row)
+        block = Block(row, keep)
         total, own = block.totals(replies, bounds)
         p = block.probabilities(total, model)
         for n in range(2, len(total) + 1):
@@ -335,11 +341,11 @@ def _add_contexts(table: pa.Table, model: bool) -> pa.Table:
     return _replies(out)
 
 
-def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: Discounts) -> pa.Table:
+def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], model: Discounts) -> pa.Table:
     replies = right.to_pylist()
     docs, sizes, sums = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for row in left.to_pylist():
-        block = Block(row)
+        block = Block(row, keep)
         total, _ = block.totals([r for r in replies if r["n"] > 0], bounds)
         p = block.probabilities(total, model)
         backoff = {n: np.zeros(block.keys[n].size) for n in range(1, len(total))}
@@ -362,10 +368,11 @@ def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, model: Discou
     return pa.table([pa.array(docs, pa.int64()), pa.array(size, pa.int64()), pa.array(total_, pa.float64())], names=["doc_id", "n_tokens", "logprob"])
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS, keep: dict[int, int] = KEEP) -> DataFrame:
     """(doc_id, n_tokens, logprob, perplexity) of every row by the model of all rows.
 
     ``model_dir`` keeps the model: ``counts`` and ``backoff``, each partitioned by ``n`` and ``bucket``.
+    ``keep`` has the least count of a kept n-gram of each order; ``EVERY`` leaves none out.
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
@@ -373,28 +380,38 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), f"{base}/blocks")
     grams = {r.pos + 1: r.v for r in blocks.select(F.posexplode("grams")).groupBy("pos").agg(F.sum("col").alias("v")).collect()}
     bounds = edges(max(1, math.ceil(1.6 * grams.get(1, 0) / bucket_keys)))
-    sent = blocks.mapInArrow(lambda batches: _send_first(batches, bounds), _SENT)
     keep_model = model_dir is not None
-    counts = written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep_model), _REPLY), f"{base}/counts-2")
-    for n in range(3, ORDER + 1):
-        sent = _cogrouped(blocks, counts.where("block >= 0"), _sender(bounds, n), _SENT)
-        counts = counts.unionByName(written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep_model), _REPLY), f"{base}/counts-{n}"))
+    weighted = keep_model or any(least > 1 for least in keep.values())
+    whole = unfiltered(keep)
+
+    def counted(sent: DataFrame, n: int) -> DataFrame:
+        return written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep, keep_model, weighted), _REPLY), f"{base}/counts-{n}")
+
+    low = list(range(1, min(2, whole) + 1))
+    counts = counted(blocks.mapInArrow(lambda batches: _send_all(batches, bounds, keep, low), _SENT), low[-1])
+    for n in range(low[-1] + 1, ORDER + 1):
+        if n <= whole:
+            sent = blocks.mapInArrow(lambda batches, n=n: _send_all(batches, bounds, keep, [n]), _SENT)
+        else:
+            sent = _cogrouped(blocks, counts.where("block >= 0"), _sender(bounds, keep, n), _SENT)
+        counts = counts.unionByName(counted(sent, n))
     of = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
     for r in counts.where("block = -1").select("n", F.posexplode("stats")).groupBy("n", "pos").agg(F.sum("col").alias("v")).collect():
         of[r.n][r.pos] = r.v
-    for n in range(3, ORDER + 1):
+    for n in range(whole + 1, ORDER + 1):
         of[n][1] = grams.get(n, 0) - of[n][0]  # whatever isn't kept occurs once
     model = Discounts(of, grams.get(1, 0))
-    replies = counts.where("block >= 0")
-    asked = _cogrouped(blocks, replies, lambda left, right: _send_contexts(left, right, bounds, model), _SENT)
-    weights = written(asked.groupBy("bucket").applyInArrow(lambda t: _add_contexts(t, keep_model), _REPLY), f"{base}/backoff")
+    told = replies = counts.where("block >= 0")
+    if weighted:
+        asked = _cogrouped(blocks, replies, lambda left, right: _send_contexts(left, right, bounds, keep, model), _SENT)
+        weights = written(asked.groupBy("bucket").applyInArrow(lambda t: _add_contexts(t, keep_model), _REPLY), f"{base}/backoff")
+        told = replies.withColumn("own", F.lit(None).cast("binary")).unionByName(weights.where("block >= 0"))  # ownership has done its part
     if model_dir:
         for name, kept in (("counts", counts), ("backoff", weights)):
             kept.where("block = -2").select("n", "bucket", F.col("mask").alias("keys"), F.col("data").alias("values")).write.partitionBy("n", "bucket").parquet(f"{model_dir}/{name}")
-    told = replies.withColumn("own", F.lit(None).cast("binary"))  # ownership has done its part
-    done = _cogrouped(blocks, told.unionByName(weights.where("block >= 0")), lambda left, right: _evaluate(left, right, bounds, model), "doc_id long, n_tokens long, logprob double")
+    done = _cogrouped(blocks, told, lambda left, right: _evaluate(left, right, bounds, keep, model), "doc_id long, n_tokens long, logprob double")
     done = written(done, f"{base}/scores")
-    removed(spark, f"{base}/blocks", f"{base}/backoff", *[f"{base}/counts-{n}" for n in range(2, ORDER + 1)])
+    removed(spark, f"{base}/blocks", f"{base}/backoff", *[f"{base}/counts-{n}" for n in range(low[-1], ORDER + 1)])
     return done.select("doc_id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 6)).alias("perplexity"))
 
 

@@ -50,8 +50,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probability and perplexity of every document by the trigram model of all documents."""
-    return katz.scored(table(spark, sf_dir, "documents"))
+    """Log-probability and perplexity of every document by the trigram model of all documents, with every n-gram in it."""
+    return katz.scored(table(spark, sf_dir, "documents"), keep=katz.EVERY)
 
 
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

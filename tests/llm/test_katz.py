@@ -90,3 +90,51 @@ def test_packed_numbers_round_trip():
     assert (katz.unpack_bits(katz.pack_bits(mask)) == mask).all()
     floats = np.random.default_rng(1).random(33)
     assert (katz.unpack_floats(katz.pack_floats(floats)) == floats).all()
+
+
+def whole(texts):
+    """The model with every n-gram in it: the score of each text, and the backoff weights of each order's contexts."""
+    seqs = [(t or "").lower().split() for t in texts]
+    grams = {n: Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1)) for n in (1, 2, 3)}
+    tokens = sum(grams[1].values())
+    model = katz.Discounts({n: [0] + [sum(c == k for c in grams[n].values()) for k in range(1, katz.K + 2)] for n in (1, 2, 3)}, tokens)
+
+    def p(g):
+        n, c = len(g), grams[len(g)][g]
+        return model.table[n][min(c, katz.K + 1)] * c / ((grams[n - 1][g[:-1]] if n > 1 else tokens) + 1)
+
+    weights = {}
+    for n in (1, 2):
+        after = {}
+        for g in grams[n + 1]:
+            after.setdefault(g[:-1], []).append(g)
+        weights[n] = sorted((1 - sum(map(p, f))) / (1 - sum(p(g[1:]) for g in f)) for f in after.values())
+    return [sum(math.log(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(len(s))) for s in seqs], weights, grams
+
+
+SINGLES = [prose(k % 7, 40) + " " + prose(100 + k, 20) for k in range(30)] + ["solo", None, "", prose(0, 40)]
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    from engramite.llm import queries
+
+    docs(spark, SINGLES).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = whole(SINGLES)[0]
+    got = {r.doc_id: r for r in queries.op6_katz_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == len(want)
+    for i, w in enumerate(want):
+        assert got[i].logprob == pytest.approx(w, abs=1e-5)
+
+
+def test_whole_model_has_every_ngram_and_weight(spark, tmp_path):
+    out = f"file://{tmp_path}/model"
+    want, weights, grams = whole(SINGLES)
+    got = {r.doc_id: r.logprob for r in katz.scored(docs(spark, SINGLES).repartition(3), model_dir=out, block_tokens=150, bucket_keys=100, keep=katz.EVERY).collect()}
+    assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-5)
+    counts = [0, 0, 0, 0]
+    for r in spark.read.parquet(f"{out}/counts").collect():
+        counts[r.n] += len(katz.unpack_sorted(r["keys"]))
+    assert counts[1:] == [len(grams[n]) for n in (1, 2, 3)]
+    rows = spark.read.parquet(f"{out}/backoff").collect()
+    for n in (1, 2):
+        assert sorted(x for r in rows if r.n == n for x in katz.unpack_floats(r["values"])) == pytest.approx(weights[n], abs=1e-9)
