@@ -156,10 +156,36 @@ def _mapped(rows: DataFrame, phrases: Phrases, schema: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _find(shared.value, batches), schema)
 
 
+def _found(part: pa.RecordBatch, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of one pass, merged with those which the rows carry from earlier passes."""
+    row, first, after = spans(part.column("text"), phrases)
+    size = part.column("first").value_lengths().to_numpy(zero_copy_only=False)
+    if not size.any():
+        return row, first, after
+    row = np.concatenate([np.repeat(np.arange(size.size), size), row])
+    first, after = (np.concatenate([part.column(c).flatten().to_numpy(zero_copy_only=False), new]) for c, new in (("first", first), ("after", after)))
+    order = np.lexsort((first, row))
+    row, first = row[order], first[order]
+    # one axis for all rows, so that reach never crosses from one to the next
+    begin, reach = (row << 32) + first, np.maximum.accumulate((row << 32) + after[order])
+    head = np.concatenate([[True], (begin[1:] > reach[:-1]) | (np.diff(row) > 0)])
+    last = np.concatenate([head[1:], [True]])
+    return row[head], first[head], reach[last] - (row[last] << 32)
+
+
+def _mark(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the spans found so far; the texts stay whole for the passes to come."""
+    for part in textops.slices(batches, "text", SHARD_BYTES):
+        row, first, after = _found(part, phrases)
+        offs = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offs, pa.array(x, pa.int32())) for x in (first, after)]
+        yield pa.RecordBatch.from_arrays([part.column(ROW), part.column("text"), *lists], names=[ROW, "text", "first", "after"])
+
+
 def _clean(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in textops.slices(batches, "text", SHARD_BYTES):
         column = part.column("text")
-        row, first, after = spans(column, phrases)
+        row, first, after = _found(part, phrases)
         if row.size:
             touched, begin = np.unique(row, return_index=True)
             end = [*begin[1:], row.size]
@@ -172,15 +198,15 @@ def _clean(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the spans cut out of the texts and ``size_col`` (if there) set to the new length; all rows stay."""
-    for phrases in passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        rows = packed(docs.withColumn(text_col, F.col(text_col).cast("string")), text=F.col(text_col).cast("string"))
-        # the text travels once: the packed row carries it only as a null
-        rows = rows.withColumn(ROW, F.col(ROW).withField(f"`{text_col}`", F.lit(None).cast("string")))
-        schema = rows.schema
-        done = rows.mapInArrow(lambda batches, shared=shared: _clean(shared.value, batches), schema)
-        row = F.col(ROW).withField(f"`{text_col}`", F.col("text"))
-        if size_col in docs.columns:
-            row = row.withField(f"`{size_col}`", F.length("text").cast(docs.schema[size_col].dataType))
-        docs = done.select(row.alias(ROW)).select(f"{ROW}.*")
-    return docs
+    none = F.array().cast("array<int>")
+    rows = packed(docs.withColumn(text_col, F.col(text_col).cast("string")), text=F.col(text_col).cast("string"), first=none, after=none)
+    # the text travels once: the packed row carries it only as a null
+    rows = rows.withColumn(ROW, F.col(ROW).withField(f"`{text_col}`", F.lit(None).cast("string")))
+    *earlier, last = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in passes(benchmark)]
+    for shared in earlier:
+        rows = rows.mapInArrow(lambda batches, shared=shared: _mark(shared.value, batches), rows.schema)
+    done = rows.mapInArrow(lambda batches: _clean(last.value, batches), rows.select(ROW, "text").schema)
+    row = F.col(ROW).withField(f"`{text_col}`", F.col("text"))
+    if size_col in docs.columns:
+        row = row.withField(f"`{size_col}`", F.length("text").cast(docs.schema[size_col].dataType))
+    return done.select(row.alias(ROW)).select(f"{ROW}.*")

@@ -59,6 +59,22 @@ def test_cut_texts(spark):
     assert sorted(str((r.doc_id, r.text, r.n_chars)) for r in out.collect()) == sorted(map(str, [(1, "before  after", 13), (1, "before  after", 13), (2, None, None), (3, "", 0), (None, "clean text", 10)]))
 
 
+def test_many_passes_cut_the_same(spark, monkeypatch):
+    w = ITEM.split()
+    bench = [" ".join(w[:11]), " ".join(w[5:]), " ".join(w[8:12]), "red kites over hills", "over hills red kites"]
+    texts = [f"x {ITEM} y {ITEM} z", f"red kites {ITEM} over hills", f"{ITEM}, red kites over hills red kites end", None, "", "clean text", f"{prose(8, 30_000)} {ITEM} tail"]
+    cut = lambda: sorted(str(tuple(r)) for r in decontaminate.decontaminate(docs(spark, texts).repartition(2), items(spark, bench)).collect())
+    one = cut()
+    monkeypatch.setattr(decontaminate, "PHRASES_PER_PASS", 1)
+    assert len(decontaminate.passes(items(spark, bench))) > 5
+    assert cut() == one
+    want = {k: t for k, t in enumerate(texts) if t is not None}
+    for k, a, b in sorted(brute(texts, bench), reverse=True):
+        at = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", want[k])]
+        want[k] = want[k][: at[a][0]] + want[k][at[b - 1][1] :]
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs(spark, texts), items(spark, bench)).collect() if r.text is not None} == want
+
+
 def test_empty_tables(spark):
     assert decontaminate.contaminated(docs(spark, []), items(spark, [ITEM])).count() == 0
     assert decontaminate.contaminated(docs(spark, [ITEM]), items(spark, [])).count() == 0
