@@ -7,7 +7,8 @@ verify or resume after any row.
 
 Cases: an empty payload has one row of no bytes; a null page or URL is an empty payload or a record
 without a target; ids needn't be unique, since a record is told apart by file and offset;
-blanks and control characters in a URL are percent-encoded; an empty table gives no files and no rows.
+blanks and control characters in a URL are percent-encoded; a header may have any length; bytes after
+the last record that are no whole header are an error; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from engramite.llm.common import shared_dir, written
 CHUNK_BYTES = 16 << 10
 #: Bytes that a task holds before it hands a batch of rows on.
 BATCH_BYTES = 4 << 20
-#: Longest header block that is taken for one.
-HEADER_BYTES = 1 << 20
 
 SCHEMA = "file string, record_offset long, record_id string, warc_type string, target_uri string, content_length long, chunk_no int, payload binary, sha256 string, last boolean"
 _TYPES = pa.schema([("file", pa.string()), ("record_offset", pa.int64()), ("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("content_length", pa.int64()), ("chunk_no", pa.int32()), ("payload", pa.binary()), ("sha256", pa.string()), ("last", pa.bool_())])
@@ -77,11 +76,20 @@ class Stream:
         self.at += len(out)
         return out
 
-    def until(self, mark: bytes, most: int) -> bytes | None:
-        """Bytes before the mark, which is skipped; None if the stream ends or the mark is too far."""
-        while (found := self.buffer.find(mark)) < 0:
-            if len(self.buffer) > most or not self._more():
-                return None
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes before the mark, which is skipped, however many; None if the stream ends first."""
+        found = self.buffer.find(mark)
+        if found < 0:
+            # grown in place and searched once, so that a long stretch takes linear time
+            held = bytearray(self.buffer)
+            while found < 0:
+                self.buffer, start = b"", max(0, len(held) - len(mark) + 1)
+                if not self._more():
+                    self.buffer = bytes(held)
+                    return None
+                held += self.buffer
+                found = held.find(mark, start)
+            self.buffer = bytes(held)
         out, self.buffer = self.buffer[:found], self.buffer[found + len(mark) :]
         self.at += found + len(mark)
         return out
@@ -94,8 +102,10 @@ def chunks(stream: Stream, chunk_bytes: int) -> Iterator[dict]:
             if stream.buffer[:2] == b"\r\n":
                 stream.read(2)
         offset = stream.at
-        head = stream.until(b"\r\n\r\n", HEADER_BYTES)
+        head = stream.until(b"\r\n\r\n")
         if head is None:
+            if stream.buffer:
+                raise ValueError(f"the header at {offset} ends early")
             return
         lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -123,7 +133,7 @@ def _read(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Re
                 rows, held = [], 0
                 for row in chunks(Stream(source), chunk_bytes):
                     rows.append({"file": path.rsplit("/", 1)[-1], **row})
-                    held += len(row["payload"]) + 500
+                    held += len(row["payload"]) + len(row["target_uri"] or "") + 500
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
                         rows, held = [], 0

@@ -62,3 +62,22 @@ def test_matches_duckdb(spark):
 
     sf = "/root/testdata/sf0.001"
     assert compare(queries.op7_warc_chunks(spark, sf), warc.ORACLE, sf) is None
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_headers_of_any_length(packed):
+    uris = ["http://x/" + "a" * n for n in (3_000_000, 5, 1_500_000)]
+    data = b"".join(gzip.compress(record(b"body", u)) if packed else record(b"body", u) for u in uris)
+    rows = list(warc.chunks(warc.Stream(io.BytesIO(data)), 1000))
+    assert [(r["target_uri"], r["payload"]) for r in rows] == [(u, b"body") for u in uris]
+
+
+def test_long_url_keeps_the_pages_after_it(spark):
+    pages = [(1, "u", "one"), (2, "http://a/" + " " * 900_000, "two"), (3, "v", "three")]
+    rows = warc.chunked(spark, spark.createDataFrame(pages, PAGES).coalesce(1)).collect()
+    assert sorted((r.target_uri, bytes(r.payload).decode()) for r in rows) == sorted((u.replace(" ", "%20"), h) for _, u, h in pages)
+
+
+def test_header_without_an_end():
+    with pytest.raises(ValueError, match="header at .* ends early"):
+        list(warc.chunks(warc.Stream(io.BytesIO(record(b"abc") + b"WARC/1.1\r\nWARC-Type: resource\r\n")), 10))
