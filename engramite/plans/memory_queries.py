@@ -182,6 +182,22 @@ def file_preview_state(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("url").alias("path"), shown.alias("p")).select("path", F.col("p.state").alias("state"), F.col("p.text").alias("preview"))
 
 
+@query(None)
+def snapshot_ingest_nodes_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes as nodes within the operator's own limits; tests compare it with brute force."""
+    out = filesystem.event_nodes(_events(spark, sf))
+    about = F.from_json("metadata", "path string, event_type string")
+    return out.select(about["path"].alias("path"), about["event_type"].alias("type"), "content", "confidence", "read_state")
+
+
+@query(None)
+def file_preview_state_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's preview within the operator's own limits; tests compare it with brute force."""
+    raw = F.col("html").cast("binary")
+    shown = filesystem.preview(raw, F.octet_length(raw))
+    return table(spark, sf, "pages").select(F.col("url").alias("path"), shown.alias("p")).select("path", F.col("p.state").alias("state"), F.col("p.text").alias("preview"))
+
+
 @query(None)
 def gitignore_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The URLs as paths, and whether a few ignore rules drop them; Python's own matcher, so there is no SQL."""

@@ -1,4 +1,5 @@
 import os
+import re
 import sqlite3
 import time
 
@@ -156,3 +157,36 @@ def test_consolidation_timer(spark):
     state = [spark.createDataFrame([("a", 0.5), ("b", 0.102)], "id string, confidence double")]
     assert consolidation_timer(lambda: state[-1], state.append, ConsolidationConfig(), cycles=1) == 1
     assert [(r.id, round(r.confidence, 6)) for r in state[-1].collect()] == [("a", 0.49)]
+
+
+def _previewed(html):
+    raw = html.encode()
+    if len(raw) > 1_000_000:
+        return "too_large", ""
+    try:
+        return "ok", re.sub(r"^\s+|\s+$", "", raw[:16_384].decode(), flags=re.ASCII)
+    except UnicodeDecodeError:
+        return "binary", ""
+
+
+def test_preview_queries_use_the_default_limits(spark, tmp_path):
+    from engramite.plans import memory_queries as q
+
+    html = [" small ", "a" * 2001, " b" * 30_000, "c" * 16_383 + "é", "d" * 16_382 + "é tail", "e" * 1_000_000, "f" * 1_000_001, ""]
+    spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.path: (r.state, r.preview) for r in q.file_preview_state_full(spark, str(tmp_path)).collect()}
+    assert got == {f"u{i}": _previewed(h) for i, h in enumerate(html)}
+    assert {s for s, _ in got.values()} == {"ok", "binary", "too_large"}
+
+
+def test_ingest_query_uses_the_default_limits(spark):
+    from engramite.plans import memory_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    pages = {r.url: r.html + "x" * (r.page_id % 3 == 0) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    want = {}
+    for r in q.snapshot_diff(spark, sf).collect():
+        state, text = ("removed", "") if r.type == "removed" else _previewed(pages[r.path])
+        want[r.path] = (r.type, f"[filesystem {r.type}] {r.path}" + ("\n\n" + text if text else ""), state)
+    got = {r.path: (r.type, r.content, r.read_state) for r in q.snapshot_ingest_nodes_full(spark, sf).collect()}
+    assert got == want and any(len(c) > 2100 for _, c, _ in got.values())
