@@ -120,6 +120,12 @@ def similarity_null_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.join(nodes.where("embedding IS NULL").select("id"), "id", "left_semi")
 
 
+@query(oracle(f"WITH {_hits(2**63 - 1)} SELECT {_HIT} FROM hits WHERE id IN (SELECT id FROM nodes WHERE embedding IS NULL)", "nodes"))
+def similarity_null_embedding_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for every vector as a query."""
+    return similarity.without_vectors(vectors(spark, sf), view(spark, sf, "nodes"))
+
+
 @query(oracle(f"""WITH {_ADJ}, best AS (SELECT src, dst, max(weight) AS weight FROM adj GROUP BY src, dst)
 SELECT src, dst, weight, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INTEGER) AS rank FROM best QUALIFY rank <= 5""", "edges"))
 def neighbor_topk_by_weight(spark: SparkSession, sf: str) -> DataFrame:

@@ -224,3 +224,26 @@ def test_plans_stay_in_the_jvm(spark):
     for df in (learn.learn(nodes, told), learn.updates(nodes, told), consolidate.fates(nodes)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "MapIn" not in plan
+
+
+def test_nodes_without_vectors_rank_for_every_query(spark, monkeypatch):
+    from engramite.operators import similarity
+    from engramite.plans import graph_queries as q
+
+    qs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, vector array<float>")
+    vectors = [[1.0, 0.0], [-1.0, 0.0], [0.0, 1.0], [1.0, 1.0], None, None, [0.0, 0.0], None]
+    nodes = spark.createDataFrame([(f"n{i}{k}", v, c, 10 - k) for k, c in enumerate([0.0, 0.5, None, 2.0]) for i, v in enumerate(vectors)], "id string, embedding array<float>, confidence double, updated_us long")
+
+    def same(queries, nodes):
+        whole = similarity.search(queries, nodes, 10**8).drop("raw_score").join(nodes.where("embedding IS NULL").select("id"), "id", "left_semi")
+        got = similarity.without_vectors(queries, nodes)
+        n = queries.count() * nodes.where("embedding IS NULL").count()
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, whole.select(got.columns).collect())) and len(rows) == n > 0
+
+    same(qs, nodes)
+    sf = "/root/testdata/sf0.001"
+    some = q.view(spark, sf, "nodes").withColumn("embedding", F.when(F.col("nid") % 7 > 0, F.col("embedding")))
+    same(q.vectors(spark, sf), some)
+    monkeypatch.setattr(q, "view", lambda *_: some)
+    assert q.similarity_null_embedding_all(spark, sf).select("query_id").distinct().count() == q.vectors(spark, sf).count()
