@@ -60,6 +60,11 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", "target_uri", "content_length", "chunk_no", F.length("payload").alias("n_bytes"), "sha256", F.sha2("payload", 256).alias("chunk_sha256"), "last")
 
 
+def op7_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunk table of all pages: payloads, and the file and offset that tell repeated records apart."""
+    return warc.chunked(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as canonical JSON with linked tool calls."""
     return chat.formatted(table(spark, sf_dir, "conversations"))

@@ -81,3 +81,16 @@ def test_long_url_keeps_the_pages_after_it(spark):
 def test_header_without_an_end():
     with pytest.raises(ValueError, match="header at .* ends early"):
         list(warc.chunks(warc.Stream(io.BytesIO(record(b"abc") + b"WARC/1.1\r\nWARC-Type: resource\r\n")), 10))
+
+
+def test_query_returns_the_payload(spark, tmp_path):
+    from engramite.llm import queries
+
+    pages = [(1, "u", "one" * 9_000), (1, "u", "one" * 9_000), (2, None, None)]
+    spark.createDataFrame(pages, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    df = queries.queries()["op7_warc_chunk_table"](spark, str(tmp_path))
+    assert df.columns == warc._TYPES.names
+    whole = {}
+    for r in sorted(df.collect(), key=lambda r: (r.file, r.record_offset, r.chunk_no)):
+        whole[r.file, r.record_offset] = whole.get((r.file, r.record_offset), b"") + bytes(r.payload)
+    assert sorted(whole.values()) == sorted((h or "").encode() for _, _, h in pages)
