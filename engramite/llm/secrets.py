@@ -52,12 +52,13 @@ RULES = (
     Rule("assigned_secret", 1, r"""(?i:token|secret|passw(?:or)?d|api[_-]?key)["']?[ \t]*[:=][ \t]*(?:["'][0-9A-Za-z_/+=.-]{16,}["']|[A-Za-z_-]{0,16}[0-9][0-9A-Za-z_/+=-]{11,})""", ("token", "secret", "passw", "api_key", "api-key", "apikey")),
     Rule("aws_access_key", 1, r"AKIA[0-9A-Z]{16}", ("akia",)),
     Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("github_fine_grained_token", 1, r"github_pat_[0-9A-Za-z]{22}_[0-9A-Za-z]{59}", ("github_pat_",)),
     Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("aiza",)),
     Rule("stripe_key", 1, r"sk_live_[0-9A-Za-z]{16,}", ("sk_live_",)),
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("-----begin",)),
     Rule("json_web_token", 1, r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", ("eyj",)),
-    Rule("url_password", 1, r"[A-Za-z][0-9A-Za-z+.-]*://[^ \t\r\n/:@]{1,64}:[^ \t\r\n/:@]{1,64}@", ("://",)),
+    Rule("url_password", 2, r"[A-Za-z][0-9A-Za-z+.-]*://[^ \t\r\n/:@]+:[^ \t\r\n/:@]+@", ("://",)),
 )
 
 _FINDING = "blob string, rule string, version int, n int, start int, end int, digest string"

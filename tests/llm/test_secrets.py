@@ -57,3 +57,12 @@ def test_redact(spark):
 def test_empty_table(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
     assert secrets.redact(docs(spark, [])).count() == 0
+
+
+def test_long_tokens(spark):
+    pat = "github_pat_" + "a1" * 11 + "_" + "Z" * 59
+    url = f"https://{'u' * 80}:{'x' * 200}@host"
+    got = found(secrets.scan(docs(spark, [f"a {url}/x", f"b {pat} c", f"https://me:{pat}@host"])))
+    assert [f[:2] for f in got] == [(0, "url_password"), (1, "github_fine_grained_token"), (2, "github_fine_grained_token"), (2, "url_password")]
+    text = " ".join(r.text for r in secrets.redact(docs(spark, [f"a {url}/x", f"b {pat} c", f"https://me:{pat}@host"])).collect())
+    assert "xxx" not in text and "ZZZ" not in text
