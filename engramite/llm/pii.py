@@ -19,6 +19,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,8 @@ _PLAIN_HOST = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9]")
 _BEFORE_AT = frozenset("me us him her them it you here there is are was were be been am and or not now look looks looked looking meet met see seen saw visit found find live lives online hosted available located page site website blog shop store read more out up arrive arrived stay stayed stop".split())
 _LAST_WORD = re.compile(r"[A-Za-z]+$")
 _DOTS = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
+_HOSTS = re.compile(rf"(?i){_HOST}(?:(?:\.|{_DOT}){_HOST})*")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W\d_])(?:{_SPELLED}|(?<![\d])\d(?!\d))(?:[ \t,-]{{1,3}}(?:{_SPELLED}|\d(?!\d))){{6,}}(?![^\W_])")
 _SPELLED_ONE = re.compile(rf"(?i){_SPELLED}|\d")
 
@@ -138,6 +141,24 @@ def _disguised(m: re.Match) -> bool:
     return True
 
 
+def _dots(text: str) -> list[tuple[int, int, str]]:
+    """The disguised dots of addresses, which extend from an at over parts joined by dots of any kind, and those close to an at."""
+    found = [m.span() for m in _DOTS.finditer(text)]
+    starts, chosen = [a for a, _ in found], {k for k, (a, b) in enumerate(found) if "@" in text[max(0, a - 80) : b + 80]}
+    at = text.find("@") if found else -1
+    while at >= 0:
+        if m := _HOSTS.match(text, at + 1):
+            chosen.update(range(bisect_left(starts, at), bisect_left(starts, m.end())))
+        end = at
+        for k in range(bisect_left(starts, at) - 1, -1, -1):
+            if not _NAME.fullmatch(text, found[k][1], end):
+                break
+            chosen.add(k)
+            end = found[k][0]
+        at = text.find("@", at + 1)
+    return [(*found[k], ".") for k in sorted(chosen)]
+
+
 def normalised(source: str) -> Mapped:
     """The text after both transducers."""
     mapped = Mapped(source)
@@ -146,13 +167,7 @@ def normalised(source: str) -> Mapped:
         mapped.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", mapped.text)])
     mapped.rewrite([(m.start(), m.end(), "@") for m in _ADDRESS.finditer(mapped.text) if _disguised(m)])
     if "@" in mapped.text:
-        # dots count as disguised only in the host and the name around an at
-        edits = []
-        for m in _DOTS.finditer(mapped.text):
-            around = mapped.text[max(0, m.start() - 80) : m.end() + 80]
-            if "@" in around:
-                edits.append((m.start(), m.end(), "."))
-        mapped.rewrite(edits)
+        mapped.rewrite(_dots(mapped.text))
     edits = []
     for m in _SPELLED_RUN.finditer(mapped.text):
         at = m.start()

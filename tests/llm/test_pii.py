@@ -48,3 +48,12 @@ def test_cases(spark):
     got = sorted(str(r.doc_id) for r in pii.findings(table).collect())
     assert got == ["1", "1", "4", "None"]
     assert pii.findings(docs(spark, [])).count() == 0
+
+
+def test_dots_far_from_the_at():
+    host = "a" * 63
+    text = f"write name (at) {host} (dot) {'b' * 63} (dot) com today"
+    assert [(k, v) for k, _, _, v in pii.detect(text)] == [("email", f"name@{host}.{'b' * 63}.com")]
+    name = "c" * 31
+    text = f"write {name} (dot) {'d' * 20} (dot) {'e' * 5}{' ' * 60}(dot) x (at) example (dot) com"
+    assert [v for _, _, _, v in pii.detect(text)] == [f"{name}.{'d' * 20}.{'e' * 5}.x@example.com"]
