@@ -69,6 +69,21 @@ def col(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def ident(name: str) -> Column:
+    """An id column as whole numbers; an id that is no whole number counts as null."""
+    return col(name).try_cast("long")
+
+
+def string(name: str) -> Column:
+    return col(name).cast("string")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows for work that is heavy on the CPU: an input of fewer partitions than cores is dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def packed(df: DataFrame, **extra: Column) -> DataFrame:
     """All columns of each row in one struct beside computed ones, so that no name can clash."""
     return df.select(F.struct(*[col(c) for c in df.columns]).alias(ROW), *[c.alias(n) for n, c in extra.items()])

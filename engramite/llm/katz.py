@@ -1,34 +1,42 @@
 """Language-model scoring by Katz backoff over all documents.
 
-Counts of n-grams from ``keep[n]`` up (``EVERY``: of all n-grams) are discounted by Good-Turing (counts above ``K`` aren't), and
-what a context has left goes to its backoff weight, which is normalised exactly:
+The counts of all n-grams, from one occurrence up, are discounted by Good-Turing (counts above ``K`` aren't), and what a
+context has left goes to its backoff weight, which is normalised exactly:
 
-    P(w|h) = d(c(hw)) c(hw) / (c(h) + 1)     if hw is kept
+    P(w|h) = d(c(hw)) c(hw) / (c(h) + 1)     if hw occurs
            = a(h) P(w|h')                    otherwise, h' being h without its first word
-    a(h)   = (1 - sum of P(w|h) over kept hw) / (1 - sum of P(w|h') over the same w)
-
-The 1 in the denominator leaves every context some mass even if all its n-grams are frequent.  A
-document's first word has no context and its second has one word; nothing crosses documents.
-
-Documents become *blocks* of about ``BLOCK_TOKENS`` tokens, written once as local vocabularies and
-packed token numbers.  Each block sends every n-gram it has once, as a hash of ``KEY_BITS`` bits, to
-the bucket of the hash space it falls in; a bucket adds the counts up, and answers each block with
-the totals of its kept n-grams.  Where a lower order drops n-grams only those go whose two parts are kept, as others
-can't be; how many of those there are once follows from the totals.  One block owns each kept n-gram and sends its probabilities to the
-bucket of its context, where the backoff weights are made, and answered likewise.  If every n-gram is
-kept, no token of these documents backs off, and the weights are made only for a model that stays.  Then
-every block evaluates the recursion for each of its tokens.  No step sends an n-gram as a row of its own, none is skewed by
-frequent words, and the model stays behind as two tables partitioned by order and bucket.
-
-Cases: a null, empty or wordless text has no tokens, log-probability 0 and no perplexity; repeated
-rows are scored each and counted each; null ids are kept; an empty table gives no rows.  Good-Turing
-ratios that aren't between 0 and 1, as in tiny corpora, give way to a discount of half a count.
+    a(h)   = (1 - sum of P(w|h) over the w that follow h) / (1 - sum of P(w|h') over the same w)
+    P(w)   = d(c(w)) c(w) / (tokens + 1); what the words leave of 1 is the probability of the unknown word
+
+A context that nothing follows has weight 1.  The 1 in the denominators leaves every context some mass even if all its
+n-grams are frequent.  A document's first word has no context and its second has one word; nothing crosses documents.
+
+Documents become *blocks* of about ``BLOCK_TOKENS`` tokens, written once as local vocabularies and packed token numbers.
+N-grams travel as sorted hashes of ``KEY_BITS`` bits in long packed runs, never as rows of their own, through a radix
+exchange of two levels: C * C buckets share the key space, C of them are a part.  A block sends one run to each part, to
+the *relay* of its group of about C blocks; a relay adds its group's runs up and sends one run to each bucket of its part;
+a bucket makes the totals.  So B blocks make about B * C runs on either level, C being the root of the number of buckets,
+and a run stays hundreds of keys long at any size of the corpus; a frequent word costs its bucket one number for each
+group.  Totals go back the same way.  ``SPANS`` stretches of the key space follow one another, to halve what is on disk.
+One block owns each n-gram and tells its context what it weighs, by the same exchange; buckets make the backoff weights.
+
+The model is two tables, ``counts`` and ``backoff``, partitioned by order and part of the key space, and its ``meta``.
+``score`` evaluates any documents by the tables: it asks for their n-grams and contexts by the same exchange and applies
+the recursion to each token.  ``scored`` trains on documents and scores these by the totals that came back to them.
+
+Cases: a null, empty or wordless text has no tokens, log-probability 0 and no perplexity; a very long text is in one block,
+whole; repeated rows are scored each and counted each; null ids are kept, and an id that is no whole number counts as null;
+other columns, whatever their names, are ignored; an empty table gives no rows, and by its model nothing is known.
+Good-Turing ratios that aren't between 0 and 1, as in tiny corpora, give way to a discount of half a count.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +46,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramite.llm import textops
-from engramite.llm.common import removed, shared_dir, written
+from engramite.llm.common import ident, removed, shared_dir, spread, string, written
 
-#: Least count of a kept n-gram. A higher order keeps none that is rarer than those which a lower one keeps.
-ORDER, K, KEEP, EVERY = 3, 5, {1: 1, 2: 2, 3: 2}, {1: 1, 2: 1, 3: 1}
+ORDER, K = 3, 5
 KEY_BITS = 56
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Keys that a bucket receives, about.
-BUCKET_KEYS = 2 << 20
+BUCKET_KEYS = 1 << 20
+#: Stretches of the key space that are exchanged one after the other: of trigrams, of contexts.
+SPANS, CONTEXT_SPANS = 2, 4
 
 _BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
-_SENT = "bucket int, block long, n int, keys binary, a binary, b binary, c binary"
-_REPLY = "block long, n int, bucket int, mask binary, own binary, data binary, stats array<long>"
+_RUN = "dest long, src long, n int, up boolean, keys binary, a binary, b binary, stats array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_NAMES = [x.split()[0] for x in _RUN.split(", ")]
+#: What isn't addressed to anybody.
+_STATS, _MODEL = -1, -2
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -69,7 +81,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    return pack(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
@@ -94,80 +106,99 @@ def unpack_floats(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.float64).reshape(-1)
 
 
-def edges(buckets: int) -> np.ndarray:
-    """Bounds between the buckets' stretches of the key space."""
-    return np.array([(k << KEY_BITS) // buckets for k in range(1, buckets)], dtype=np.uint64)
+def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *parts])
 
 
-def slices(keys: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the buckets that some of the sorted keys falls in."""
-    cuts = [0, *np.searchsorted(keys, bounds).tolist(), keys.size]
-    return [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+@dataclass(frozen=True)
+class Net:
+    """The addresses of the exchange: ``coarse`` parts of as many buckets, and groups of blocks."""
 
+    coarse: int
+    groups: int
 
-def unfiltered(keep: dict[int, int]) -> int:
-    """The highest order of which every n-gram may be kept, as all lower orders keep all."""
-    return next((n for n in range(1, ORDER) if keep[n] > 1), ORDER)
+    @staticmethod
+    def of(coarse: int, blocks: int) -> Net:
+        return Net(coarse, max(1, math.ceil(blocks / coarse)))
+
+    def relay(self, block: int, part: int) -> int:
+        return int(textops.mix64(np.array([block]))[0]) % self.groups * self.coarse + part
+
+    @staticmethod
+    def cut(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+        """(part, from, to) of the equal parts of the key space that some of the sorted keys falls in."""
+        if not keys.size:
+            return []
+        part = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+        head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        return list(zip(part[head].tolist(), head.tolist(), [*head[1:].tolist(), keys.size], strict=True))
+
+
+def _span(keys: np.ndarray, span: tuple[int, int]) -> slice:
+    """Those of the sorted keys that lie in the k-th of m equal stretches."""
+    k, m = span
+    ends = np.array([(k << KEY_BITS) // m, ((k + 1) << KEY_BITS) // m], dtype=np.uint64)
+    return slice(*np.searchsorted(keys, ends).tolist())
+
+
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=_NAMES)
+
+
+def _by_order(table: pa.Table, order: tuple[str, ...] = ("n", "src")) -> Iterator[tuple[int, list[dict]]]:
+    rows = sorted(table.to_pylist(), key=lambda r: tuple(r[c] for c in order))
+    for n, own in groupby(rows, key=lambda r: r["n"]):
+        yield n, list(own)
 
 
 class Block:
-    """The n-grams of one block: for each order the sorted distinct keys, where each token's is among them, and counts."""
+    """The n-grams of one block: of each token its hash, and of each order the sorted distinct ones."""
 
-    def __init__(self, row: dict, keep: dict[int, int], orders: int = ORDER) -> None:
-        self.docs, self.keep = row["docs"], keep
+    def __init__(self, row: dict) -> None:
+        self.number, self.docs = row["block"], row["docs"]
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         offs = np.concatenate([[0], np.cumsum(self.sizes)])
         self.doc = np.repeat(np.arange(self.sizes.size), self.sizes)
         self.place = np.arange(self.doc.size) - offs[self.doc]
         key = unpack(row["vocabulary"])[unpack(row["tokens"]).astype(np.int64)] if self.doc.size else np.zeros(0, dtype=np.uint64)
-        word = key
-        self.keys, self.type, self.first, self.count = {}, {}, {}, {}
-        for n in range(1, orders + 1):
-            if n > 1:
-                # from the key of the n-1 words before and the word: chained, so that a context's key is one of order n-1
-                before = np.concatenate([[np.uint64(0)], key[:-1]]) if key.size else key
-                key = textops.mix64(before * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
-            at = np.flatnonzero(self.place >= n - 1)
-            keys, first, kind, count = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+        self.key = {1: key}
+        for n in range(2, ORDER + 1):
+            # from the hash of the n-1 words before and the word: chained, so that a context's hash is one of order n-1
+            before = np.concatenate([np.zeros(1, dtype=np.uint64), self.key[n - 1][:-1]])[: key.size]
+            self.key[n] = textops.mix64(before * np.uint64(0x9E3779B97F4A7C15) + key * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
+
+    def counted(self, n: int, span: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams in a stretch of the key space and how often they occur here."""
+        key = self.key[n][self.place >= n - 1]
+        k, m = span
+        if m > 1:
+            key = key[(key >= np.uint64((k << KEY_BITS) // m)) & (key < np.uint64(((k + 1) << KEY_BITS) // m))]
+        return np.unique(key, return_counts=True)
+
+    def rank(self) -> None:
+        """For each order the distinct n-grams (``keys``), each token's among them (``type``) and one token of each (``at``)."""
+        self.keys, self.type, self.at = {}, {}, {}
+        for n in range(1, ORDER + 1):
+            here = np.flatnonzero(self.place >= n - 1)
+            key = self.key[n][here]
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([np.ones(min(1, key.size), dtype=bool), key[1:] != key[:-1]])
             self.type[n] = np.full(self.doc.size, -1, dtype=np.int32)
-            self.type[n][at] = kind
-            self.keys[n], self.first[n], self.count[n] = keys, at[first].astype(np.int32), count.astype(np.int32)
-
-    def candidates(self, n: int, total: dict) -> np.ndarray:
-        """Which n-grams may be kept: all if the order below keeps all, else those whose parts are."""
-        if n <= unfiltered(self.keep):
-            return np.arange(self.keys[n].size)
-        at = self.first[n]
-        return np.flatnonzero((total[n - 1][self.type[n - 1][at - 1]] > 0) & (total[n - 1][self.type[n - 1][at]] > 0))
-
-    def totals(self, replies: list[dict], bounds: np.ndarray, orders: int = ORDER) -> tuple[dict, dict]:
-        """For each order the corpus counts of kept n-grams (0 for others) and whether this block owns them."""
-        total, own = {}, {}
-        for n in range(1, orders + 1):
-            total[n], own[n] = np.zeros(self.keys[n].size, dtype=np.int64), np.zeros(self.keys[n].size, dtype=bool)
-            asked = self.candidates(n, total)
-            at = {k: asked[a:b] for k, a, b in slices(self.keys[n][asked], bounds)}
-            for r in replies:
-                if r["n"] == n:
-                    places = at[r["bucket"]]
-                    total[n][places[unpack_bits(r["mask"])]] = unpack(r["data"]).astype(np.int64)
-                    if r["own"] is not None:
-                        own[n][places] = unpack_bits(r["own"])
-        return total, own
-
-    def backing(self, n: int, total: dict) -> np.ndarray:
-        """The kept contexts of order n-1 from which one of the block's own tokens backs off, in order."""
-        here = np.flatnonzero(self.place >= n - 1)
-        here = here[total[n][self.type[n][here]] == 0]
-        backs = np.zeros(self.keys[n - 1].size, dtype=bool)
-        backs[self.type[n - 1][here - 1]] = True
-        return np.flatnonzero(backs & (total[n - 1] > 0))
+            self.type[n][here[order]] = np.cumsum(new) - 1
+            self.keys[n], self.at[n] = key[new], here[order[new]]
+
+    def told(self, rows: list[dict], unpacker: Callable[[bytes], np.ndarray]) -> tuple[dict, dict]:
+        """For each order what came back for ``keys``: the totals, and the second value."""
+        rows = sorted(rows, key=lambda r: r["src"])
+        total = {n: _joined([unpack(r["a"]).astype(np.int64) for r in rows if r["n"] == n]) for n in range(1, ORDER + 1)}
+        return total, {n: _joined([unpacker(r["b"]) for r in rows if r["n"] == n], bool if unpacker is unpack_bits else float) for n in range(1, ORDER + 1)}
 
     def probabilities(self, total: dict, model: Discounts) -> dict:
-        """The discounted probability of each kept n-gram after its context; 0 for others."""
-        out = {1: model.discounted(1, total[1]) / (model.tokens + 1)}
-        for n in range(2, len(total) + 1):
-            context = total[n - 1][self.type[n - 1][self.first[n] - 1]] if total[n].size else total[n]
+        """The discounted probability of each n-gram after its context; 0 for those that the model doesn't have."""
+        out = {1: np.where(total[1] > 0, model.discounted(1, total[1]) / (model.tokens + 1), model.unknown)}
+        for n in range(2, ORDER + 1):
+            context = total[n - 1][self.type[n - 1][self.at[n] - 1]] if total[n].size else total[n]
             out[n] = model.discounted(n, total[n]) / (context + 1)
         return out
 
@@ -186,14 +217,13 @@ class Discounts:
                 ratio = ((k + 1) * r[k + 1] / (k * r[k]) - common) / (1 - common) if r[k] and common < 1 else -1.0
                 d[k] = ratio if 0 < ratio < 1 else (k - 0.5) / k
             self.table[n] = d
+        lost = math.fsum((1 - self.table[1][k]) * k * counts[1][k] for k in range(1, K + 1))
+        #: What all words of the model leave to the unknown one.
+        self.unknown = (1 + lost) / (tokens + 1)
 
     def discounted(self, n: int, count: np.ndarray) -> np.ndarray:
         return self.table[n][np.minimum(count, K + 1)] * count
 
-    def unknown(self) -> float:
-        """What the unigrams leave to a word that no document has; only needed for other texts."""
-        return 1 / (self.tokens + 1)
-
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
@@ -228,192 +258,266 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield block()
 
 
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "block", "n", "keys", "a", "b", "c"])
-
-
-def _send_all(batches: Iterator[pa.RecordBatch], bounds: np.ndarray, keep: dict[int, int], orders: list[int]) -> Iterator[pa.RecordBatch]:
-    """The counts of all n-grams of some orders."""
+def _send(batches: Iterator[pa.RecordBatch], net: Net, orders: list[int], span: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """A block's n-grams of some orders in a stretch of the key space, to its group's relays."""
     for batch in batches:
         for row in batch.to_pylist():
-            block = Block(row, keep, orders[-1])
+            block = Block(row)
             for n in orders:
-                yield _sent([(k, row["block"], n, pack_sorted(block.keys[n][a:b]), pack(block.count[n][a:b]), None, None) for k, a, b in slices(block.keys[n], bounds)])
+                keys, count = block.counted(n, span)
+                yield _runs([(net.relay(block.number, c), block.number, n, True, pack_sorted(keys[x:y]), pack(count[x:y]), None, None) for c, x, y in net.cut(keys, net.coarse)])
 
 
-def _send_next(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], n: int) -> pa.Table:
-    """The counts of those n-grams of a higher order that may be kept."""
-    out = []
-    for row in left.to_pylist():
-        block = Block(row, keep, n)
-        asked = block.candidates(n, block.totals(right.to_pylist(), bounds, n - 1)[0])
-        keys, count = block.keys[n][asked], block.count[n][asked]
-        out += [(k, row["block"], n, pack_sorted(keys[a:b]), pack(count[a:b]), None, None) for k, a, b in slices(keys, bounds)]
-    return pa.Table.from_batches([_sent(out)])
+def _merged(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys of runs, and the place of each run's keys among them."""
+    sent = [unpack_sorted(r["keys"]) for r in rows]
+    keys = np.sort(np.concatenate(sent))
+    keys = keys[np.concatenate([np.ones(min(1, keys.size), dtype=bool), keys[1:] != keys[:-1]])]
+    return keys, [np.searchsorted(keys, s) for s in sent]
 
 
-def _sender(bounds: np.ndarray, keep: dict[int, int], n: int):
-    return lambda left, right: _send_next(left, right, bounds, keep, n)
+def _sums(rows: list[dict], places: list[np.ndarray], size: int, column: str, unpacker: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate(places), weights=np.concatenate([unpacker(r[column]) for r in rows]), minlength=size)
 
 
-def _replies(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    names = ["block", "n", "bucket", "mask", "own", "data", "stats"]
-    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+def _first(places: list[np.ndarray], size: int) -> np.ndarray:
+    """Of each key the number of the first run that has it."""
+    first = np.zeros(size, dtype=np.int64)
+    for k in range(len(places) - 1, -1, -1):
+        first[places[k]] = k
+    return first
 
 
-def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a bucket's rows of one order, each sent key's place among them, the rows' cuts, and first senders."""
-    sent = [unpack_sorted(r["keys"]) for r in rows]
-    cuts = np.concatenate([[0], np.cumsum([s.size for s in sent])])
-    keys, first, place = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-    return keys, place, cuts, first
+def _relay(table: pa.Table, net: Net) -> pa.Table:
+    """A group's counts of one part of the key space, to its buckets; where each block's n-grams are among them stays here."""
+    out = []
+    for n, rows in _by_order(table):
+        keys, places = _merged(rows)
+        total = _sums(rows, places, keys.size, "a", unpack).astype(np.int64)
+        here = rows[0]["dest"]
+        out += [(f, here, n, True, pack_sorted(keys[x:y]), pack(total[x:y]), None, None) for f, x, y in net.cut(keys, net.coarse**2)]
+        out += [(here, r["src"], n, False, None, pack_sorted(p), None, None) for r, p in zip(rows, places, strict=True)]
+    return pa.Table.from_batches([_runs(out)])
 
 
-def _add_counts(table: pa.Table, keep: dict[int, int], model: bool, weights: bool) -> pa.Table:
+def _total(table: pa.Table) -> pa.Table:
+    """A bucket's part of the model, its counts of counts, and its answers, which say who owns an n-gram."""
     out = []
-    rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["block"]))
-    for n in sorted({r["n"] for r in rows}):
-        own_rows = [r for r in rows if r["n"] == n]
-        keys, place, cuts, first = _merged(own_rows)
-        total = np.bincount(place, weights=np.concatenate([unpack(r["a"]) for r in own_rows])).astype(np.int64)
-        kept = total >= keep[n]
-        owner = np.zeros(place.size, dtype=bool)
-        owner[first] = kept
-        of_count = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-        bucket = own_rows[0]["bucket"]
-        out.append((-1, n, bucket, None, None, None, [int(total[kept].sum()), *of_count[1 : K + 2].tolist()]))
-        if model:
-            out.append((-2, n, bucket, pack_sorted(keys[kept]), None, pack(total[kept]), None))
-        for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            mask = kept[place[a:b]]
-            out.append((r["block"], n, bucket, pack_bits(mask), pack_bits(owner[a:b]) if weights else None, pack(total[place[a:b]][mask]), None))
-    return _replies(out)
-
-
-def _send_contexts(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], model: Discounts) -> pa.Table:
-    """What a block asks of and tells about the contexts in it: kept keys, and the sums over n-grams it owns."""
+    for n, rows in _by_order(table):
+        keys, places = _merged(rows)
+        total = _sums(rows, places, keys.size, "a", unpack).astype(np.int64)
+        first = _first(places, keys.size)
+        here = rows[0]["dest"]
+        out.append((_STATS, here, n, False, None, None, None, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()))
+        out.append((_MODEL, here, n, False, pack_sorted(keys), pack(total), None, None))
+        out += [(r["src"], here, n, False, None, pack(total[p]), pack_bits(first[p] == k), None) for k, (r, p) in enumerate(zip(rows, places, strict=True))]
+    return pa.Table.from_batches([_runs(out)])
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What the model's tables have for the n-grams that relays ask for: totals, and logarithms of backoff weights."""
+    out = []
+    tables: dict = {}
+    for r in sorted(right.to_pylist(), key=lambda r: r["span"]):
+        tables.setdefault((r["n"], r["weights"]), []).append(r)
+
+    def found(n: int, weights: bool, keys: np.ndarray, unpacker: Callable, otherwise: float) -> np.ndarray:
+        rows = tables.get((n, weights), [])
+        have, values = _joined([unpack_sorted(r["keys"]) for r in rows], np.uint64), _joined([unpacker(r["values"]) for r in rows], float)
+        place = np.searchsorted(have, keys)
+        place[place == have.size] = 0
+        return np.where(have[place] == keys, values[place], otherwise) if have.size else np.full(keys.size, otherwise)
+
+    for n, rows in _by_order(left):
+        for r in rows:
+            keys = unpack_sorted(r["keys"])
+            total, weight = found(n, False, keys, unpack, 0), found(n, True, keys, unpack_floats, 1.0)
+            out.append((r["src"], r["dest"], n, False, None, pack(total), pack_floats(np.log(weight)), None))
+    return pa.Table.from_batches([_runs(out)])
+
+
+def _down(left: pa.Table, right: pa.Table, net: Net, span: tuple[int, int], owned: bool) -> pa.Table:
+    """A relay's answers to the blocks of its group."""
+    out = []
+    answers = dict(_by_order(right))
+    for n, rows in _by_order(left):
+        total = np.concatenate([unpack(r["a"]) for r in answers[n]])
+        extra = np.concatenate([(unpack_bits if owned else unpack_floats)(r["b"]) for r in answers[n]])
+        places = [unpack_sorted(r["a"]).astype(np.int64) for r in rows]
+        first = _first(places, total.size)
+        part = span[0] * net.coarse + rows[0]["dest"] % net.coarse
+        out += [(r["src"], part, n, False, None, pack(total[p]), pack_bits(extra[p] & (first[p] == k)) if owned else pack_floats(extra[p]), None) for k, (r, p) in enumerate(zip(rows, places, strict=True))]
+    return pa.Table.from_batches([_runs(out)])
+
+
+def _send_contexts(left: pa.Table, right: pa.Table, net: Net, model: Discounts, span: tuple[int, int]) -> pa.Table:
+    """What the n-grams that a block owns weigh together after each context, and by the next lower order."""
     out = []
-    replies = right.to_pylist()
     for row in left.to_pylist():
-        block = Block(row, keep)
-        total, own = block.totals(replies, bounds)
+        block = Block(row)
+        block.rank()
+        total, own = block.told(right.to_pylist(), unpack_bits)
         p = block.probabilities(total, model)
-        for n in range(2, len(total) + 1):
+        for n in range(2, ORDER + 1):
             mine = np.flatnonzero(own[n])
-            at = block.first[n][mine]
+            at, size = block.at[n][mine], block.keys[n - 1].size
             context, lower = block.type[n - 1][at - 1], block.type[n - 1][at]
-            size = block.keys[n - 1].size
-            need = np.zeros(size, dtype=bool)
-            need[block.backing(n, total)] = True
             high, low = np.bincount(context, weights=p[n][mine], minlength=size), np.bincount(context, weights=p[n - 1][lower], minlength=size)
-            ask = np.flatnonzero(need | (high > 0))
-            for k, a, b in slices(block.keys[n - 1][ask], bounds):
-                part = ask[a:b]
-                has = high[part] > 0
-                out.append((k, row["block"], n - 1, pack_sorted(block.keys[n - 1][part]), pack_bits(np.concatenate([has, need[part]])), pack_floats(high[part][has]), pack_floats(low[part][has])))
-    return pa.Table.from_batches([_sent(out)])
+            inside = _span(block.keys[n - 1], span)
+            has = np.flatnonzero(high[inside] > 0) + inside.start
+            keys = block.keys[n - 1][has]
+            out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[has[x:y]]), pack_floats(low[has[x:y]]), None) for c, x, y in net.cut(keys, net.coarse)]
+    return pa.Table.from_batches([_runs(out)])
+
+
+def _relay_contexts(table: pa.Table, net: Net) -> pa.Table:
+    out = []
+    for n, rows in _by_order(table):
+        keys, places = _merged(rows)
+        high, low = (_sums(rows, places, keys.size, c, unpack_floats) for c in ("a", "b"))
+        out += [(f, rows[0]["dest"], n, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None) for f, x, y in net.cut(keys, net.coarse**2)]
+    return pa.Table.from_batches([_runs(out)])
 
 
-def _add_contexts(table: pa.Table, model: bool) -> pa.Table:
+def _weigh(table: pa.Table) -> pa.Table:
+    """A bucket's backoff weights."""
     out = []
-    rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["block"]))
-    for n in sorted({r["n"] for r in rows}):
-        own_rows = [r for r in rows if r["n"] == n]
-        keys, place, cuts, _ = _merged(own_rows)
-        high, low = np.zeros(keys.size), np.zeros(keys.size)
-        for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            has = place[a:b][unpack_bits(r["a"])[: b - a]]
-            high[has] += unpack_floats(r["b"])
-            low[has] += unpack_floats(r["c"])
-        weighty = high > 0
-        weight = (1 - high) / (1 - low)
-        bucket = own_rows[0]["bucket"]
-        if model:
-            out.append((-2, n, bucket, pack_sorted(keys[weighty]), None, pack_floats(weight[weighty]), None))
-        for r, a, b in zip(own_rows, cuts[:-1], cuts[1:], strict=True):
-            # the block knows which contexts it needs, so a bit for each tells where a weight follows
-            needed = place[a:b][unpack_bits(r["a"])[b - a :]]
-            if needed.size:
-                told = weighty[needed]
-                out.append((r["block"], -n, bucket, pack_bits(told), None, pack_floats(weight[needed[told]]), None))
-    return _replies(out)
-
-
-def _evaluate(left: pa.Table, right: pa.Table, bounds: np.ndarray, keep: dict[int, int], model: Discounts) -> pa.Table:
+    for n, rows in _by_order(table):
+        keys, places = _merged(rows)
+        high, low = (_sums(rows, places, keys.size, c, unpack_floats) for c in ("a", "b"))
+        out.append((_MODEL, rows[0]["dest"], n, False, pack_sorted(keys), pack_floats((1 - high) / (1 - low)), None, None))
+    return pa.Table.from_batches([_runs(out)])
+
+
+def _evaluate(left: pa.Table, right: pa.Table, model: Discounts, own: bool) -> pa.Table:
+    """The recursion for each token; the model's own documents never back off and so have no weights."""
     replies = right.to_pylist()
-    docs, sizes, sums = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    docs, sizes, sums = [], [], []
     for row in left.to_pylist():
-        block = Block(row, keep)
-        total, _ = block.totals([r for r in replies if r["n"] > 0], bounds)
+        block = Block(row)
+        block.rank()
+        total, weight = block.told(replies, unpack_bits if own else unpack_floats)
         p = block.probabilities(total, model)
-        backoff = {n: np.zeros(block.keys[n].size) for n in range(1, len(total))}
-        for n in backoff:
-            need = block.backing(n + 1, total)
-            at = {k: need[x:y] for k, x, y in slices(block.keys[n][need], bounds)}
-            for r in replies:
-                if r["n"] == -n:
-                    backoff[n][at[r["bucket"]][unpack_bits(r["mask"])]] = np.log(unpack_floats(r["data"]))
         score = np.log(p[1][block.type[1]])
-        for n in range(2, len(total) + 1):
+        for n in range(2, ORDER + 1):
             here = np.flatnonzero(block.place >= n - 1)
             direct = p[n][block.type[n][here]]
             with np.errstate(divide="ignore"):
-                score[here] = np.where(direct > 0, np.log(direct), backoff[n - 1][block.type[n - 1][here - 1]] + score[here])
+                score[here] = np.where(direct > 0, np.log(direct), weight[n - 1][block.type[n - 1][here - 1]] + score[here])
         docs += block.docs
         sizes.append(block.sizes)
         sums.append(np.bincount(block.doc, weights=score, minlength=block.sizes.size))
-    size, total_ = np.concatenate(sizes), np.concatenate(sums)
-    return pa.table([pa.array(docs, pa.int64()), pa.array(size, pa.int64()), pa.array(total_, pa.float64())], names=["doc_id", "n_tokens", "logprob"])
+    return pa.table([pa.array(docs, pa.int64()), pa.array(_joined(sizes), pa.int64()), pa.array(_joined(sums, float))], names=["doc_id", "n_tokens", "logprob"])
+
+
+def _bound(function: Callable, *more: object) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of two tables, which is what a cogroup takes."""
+    return lambda left, right: function(left, right, *more)
+
+
+def _cogrouped(left: DataFrame, by: str, right: DataFrame, to: str, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return left.groupBy(by).cogroup(right.groupBy(to)).applyInArrow(function, schema)
+
+
+def _blocked(docs: DataFrame, id_col: str, text_col: str, folder: str, block_tokens: int) -> tuple[DataFrame, int, int]:
+    """The blocks, and how many blocks and tokens there are."""
+    rows = spread(docs.select(ident(id_col).alias("doc_id"), string(text_col).alias("text")))
+    blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), folder)
+    n, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum(F.col("grams")[0]), F.lit(0))).first()
+    return blocks, n, tokens
+
+
+def _relayed(blocks: DataFrame, net: Net, orders: list[int], span: tuple[int, int], folder: str) -> DataFrame:
+    sent = blocks.mapInArrow(lambda batches: _send(batches, net, orders, span), _RUN)
+    return written(sent.groupBy("dest").applyInArrow(lambda t: _relay(t, net), _RUN), folder)
+
+
+def _stored(rows: DataFrame, folder: str, net: Net, span: int) -> None:
+    """Adds a bucket's runs to a table of the model."""
+    rows.select(F.lit(span).alias("span"), F.col("src").alias("bucket"), "keys", F.col("a").alias("values"), "n", F.floor(F.col("src") / net.coarse).alias("part")).write.partitionBy("n", "part").mode("append").parquet(folder)
+
+
+def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir: str, bucket_keys: int) -> tuple[DataFrame, Discounts]:
+    """Writes the model and gives what each block was told of its n-grams."""
+    net = Net.of(max(1, math.ceil(math.sqrt(1.6 * tokens / bucket_keys))), n_blocks)
+    counts = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
+    told = None
+    for name, (orders, span) in enumerate([([1, 2], (0, 1)), *(([3], (k, SPANS)) for k in range(SPANS))]):
+        up = _relayed(blocks, net, orders, span, f"{base}/up-{name}")
+        totals = written(up.where("up").groupBy("dest").applyInArrow(_total, _RUN), f"{base}/totals-{name}")
+        for r in totals.where(F.col("dest") == _STATS).select("n", F.posexplode("stats")).groupBy("n", "pos").agg(F.sum("col").alias("v")).collect():
+            counts[r.n][r.pos] += r.v
+        _stored(totals.where(F.col("dest") == _MODEL), f"{model_dir}/counts", net, name)
+        own = _cogrouped(up.where("NOT up"), "dest", totals.where("dest >= 0"), "dest", _bound(_down, net, span, True), _RUN)
+        own = written(own, f"{base}/told-{name}")
+        told = own if told is None else told.unionByName(own)
+        removed(blocks.sparkSession, f"{base}/up-{name}", f"{base}/totals-{name}")
+    model = Discounts(counts, tokens)
+    for k in range(CONTEXT_SPANS):
+        sent = _cogrouped(blocks, "block", told, "dest", _bound(_send_contexts, net, model, (k, CONTEXT_SPANS)), _RUN)
+        weighed = sent.groupBy("dest").applyInArrow(lambda t: _relay_contexts(t, net), _RUN).groupBy("dest").applyInArrow(_weigh, _RUN)
+        weighed = written(weighed, f"{base}/weights-{k}")
+        _stored(weighed, f"{model_dir}/backoff", net, k)
+        removed(blocks.sparkSession, f"{base}/weights-{k}")
+    spark = blocks.sparkSession
+    spark.createDataFrame([(json.dumps({"coarse": net.coarse, "tokens": tokens, "counts": counts}),)], "meta string").coalesce(1).write.parquet(f"{model_dir}/meta")
+    return told, model
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "n_tokens", F.round("logprob", 4).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4)).alias("perplexity"))
+
+
+_SCORES = "doc_id long, n_tokens long, logprob double"
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """(doc_id, n_tokens, logprob, perplexity) of every row by the model of all rows, which ``model_dir`` keeps for ``score``."""
+    spark = docs.sparkSession
+    base = shared_dir(spark)
+    blocks, n_blocks, tokens = _blocked(docs, id_col, text_col, f"{base}/blocks", block_tokens)
+    told, model = _train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys)
+    done = written(_cogrouped(blocks, "block", told, "dest", _bound(_evaluate, model, True), _SCORES), f"{base}/scores")
+    removed(spark, f"{base}/blocks", *[f"{base}/told-{k}" for k in range(SPANS + 1)])
+    return _scores(done)
+
 
+def load(spark: SparkSession, model_dir: str) -> tuple[Discounts, int, DataFrame]:
+    """The discounts of a stored model, its number of parts, and the rows of both tables."""
+    meta = json.loads(spark.read.parquet(f"{model_dir}/meta").first().meta)
+    both = [spark.read.schema("span int, bucket long, keys binary, values binary, n int, part long").parquet(f"{model_dir}/{name}").withColumn("weights", F.lit(name == "backoff")) for name in ("counts", "backoff")]
+    return Discounts({int(n): c for n, c in meta["counts"].items()}, meta["tokens"]), meta["coarse"], both[0].unionByName(both[1])
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS, keep: dict[int, int] = KEEP) -> DataFrame:
-    """(doc_id, n_tokens, logprob, perplexity) of every row by the model of all rows.
 
-    ``model_dir`` keeps the model: ``counts`` and ``backoff``, each partitioned by ``n`` and ``bucket``.
-    ``keep`` has the least count of a kept n-gram of each order; ``EVERY`` leaves none out.
-    """
+def score(docs: DataFrame, model_dir: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, n_tokens, logprob, perplexity) of any documents by a stored model."""
     spark = docs.sparkSession
     base = shared_dir(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), f"{base}/blocks")
-    grams = {r.pos + 1: r.v for r in blocks.select(F.posexplode("grams")).groupBy("pos").agg(F.sum("col").alias("v")).collect()}
-    bounds = edges(max(1, math.ceil(1.6 * grams.get(1, 0) / bucket_keys)))
-    keep_model = model_dir is not None
-    weighted = keep_model or any(least > 1 for least in keep.values())
-    whole = unfiltered(keep)
-
-    def counted(sent: DataFrame, n: int) -> DataFrame:
-        return written(sent.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, keep, keep_model, weighted), _REPLY), f"{base}/counts-{n}")
-
-    low = list(range(1, min(2, whole) + 1))
-    counts = counted(blocks.mapInArrow(lambda batches: _send_all(batches, bounds, keep, low), _SENT), low[-1])
-    for n in range(low[-1] + 1, ORDER + 1):
-        if n <= whole:
-            sent = blocks.mapInArrow(lambda batches, n=n: _send_all(batches, bounds, keep, [n]), _SENT)
-        else:
-            sent = _cogrouped(blocks, counts.where("block >= 0"), _sender(bounds, keep, n), _SENT)
-        counts = counts.unionByName(counted(sent, n))
-    of = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
-    for r in counts.where("block = -1").select("n", F.posexplode("stats")).groupBy("n", "pos").agg(F.sum("col").alias("v")).collect():
-        of[r.n][r.pos] = r.v
-    for n in range(whole + 1, ORDER + 1):
-        of[n][1] = grams.get(n, 0) - of[n][0]  # whatever isn't kept occurs once
-    model = Discounts(of, grams.get(1, 0))
-    told = replies = counts.where("block >= 0")
-    if weighted:
-        asked = _cogrouped(blocks, replies, lambda left, right: _send_contexts(left, right, bounds, keep, model), _SENT)
-        weights = written(asked.groupBy("bucket").applyInArrow(lambda t: _add_contexts(t, keep_model), _REPLY), f"{base}/backoff")
-        told = replies.withColumn("own", F.lit(None).cast("binary")).unionByName(weights.where("block >= 0"))  # ownership has done its part
-    if model_dir:
-        for name, kept in (("counts", counts), ("backoff", weights)):
-            kept.where("block = -2").select("n", "bucket", F.col("mask").alias("keys"), F.col("data").alias("values")).write.partitionBy("n", "bucket").parquet(f"{model_dir}/{name}")
-    done = _cogrouped(blocks, told, lambda left, right: _evaluate(left, right, bounds, keep, model), "doc_id long, n_tokens long, logprob double")
-    done = written(done, f"{base}/scores")
-    removed(spark, f"{base}/blocks", f"{base}/backoff", *[f"{base}/counts-{n}" for n in range(low[-1], ORDER + 1)])
-    return done.select("doc_id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 6)).alias("perplexity"))
-
-
-def _cogrouped(blocks: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, schema)
+    model, coarse, tables = load(spark, model_dir)
+    blocks, n_blocks, _ = _blocked(docs, id_col, text_col, f"{base}/blocks", block_tokens)
+    net, whole = Net.of(coarse, n_blocks), (0, 1)
+    up = _relayed(blocks, net, [1, 2, 3], whole, f"{base}/up")
+    asked = up.where("up")
+    # buckets that nothing asks for needn't travel
+    tables = tables.join(asked.select(F.col("dest").alias("bucket")).distinct(), "bucket", "left_semi")
+    answers = _cogrouped(asked, "dest", tables, "bucket", _answer, _RUN)
+    told = written(_cogrouped(up.where("NOT up"), "dest", answers, "dest", _bound(_down, net, whole, False), _RUN), f"{base}/told")
+    done = written(_cogrouped(blocks, "block", told, "dest", _bound(_evaluate, model, False), _SCORES), f"{base}/scores")
+    removed(spark, f"{base}/blocks", f"{base}/up", f"{base}/told")
+    return _scores(done)
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
+#: DuckDB's form; the counts of counts give the discounts, and no n-gram of these documents backs off.
+ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, CAST([] AS VARCHAR[])) AS w FROM documents),
+t AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] END AS w3 FROM d, unnest(generate_series(1, len(w))) AS s(i)),
+g AS (SELECT 1 AS n, CAST(NULL AS VARCHAR) AS x, CAST(NULL AS VARCHAR) AS y, w1 AS z, count(*) AS c FROM t GROUP BY w1
+ UNION ALL SELECT 2, NULL, w2, w1, count(*) FROM t WHERE i > 1 GROUP BY w2, w1
+ UNION ALL SELECT 3, w3, w2, w1, count(*) FROM t WHERE i > 2 GROUP BY w3, w2, w1),
+k AS (SELECT n, CAST(sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS r1, [{", ".join(f"CAST(sum(CASE WHEN c = {k} THEN 1 ELSE 0 END) AS DOUBLE)" for k in range(1, K + 2))}] AS rs FROM g GROUP BY n),
+q AS (SELECT n, k, CASE WHEN rs[k] > 0 AND r1 > 0 AND {K + 1} * rs[{K + 1}] / r1 < 1 THEN ((k + 1) * rs[k + 1] / (k * rs[k]) - {K + 1} * rs[{K + 1}] / r1) / (1 - {K + 1} * rs[{K + 1}] / r1) END AS ratio FROM k, unnest(generate_series(1, {K})) AS s(k)),
+c AS (SELECT n, k, CASE WHEN ratio > 0 AND ratio < 1 THEN ratio ELSE (k - 0.5e0) / k END AS d FROM q),
+p AS (SELECT g.n, g.x, g.y, g.z, coalesce(c.d, 1.0e0) * g.c / (coalesce(h.c, (SELECT count(*) FROM t)) + 1.0e0) AS p FROM g LEFT JOIN c ON c.n = g.n AND c.k = g.c
+ LEFT JOIN g h ON h.n = g.n - 1 AND h.z = g.y AND h.y IS NOT DISTINCT FROM g.x),
+o AS (SELECT r, sum(ln(p)) AS s FROM t JOIN p ON p.n = least(i, 3) AND p.z = w1 AND p.y IS NOT DISTINCT FROM w2 AND p.x IS NOT DISTINCT FROM w3 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0.0e0), 4) AS logprob, CASE WHEN len(w) > 0 THEN round(exp(-s / len(w)), 4) END AS perplexity FROM d LEFT JOIN o USING (r)"""

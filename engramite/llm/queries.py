@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability and perplexity of every document by the trigram model of all documents, with every n-gram in it."""
-    return katz.scored(table(spark, sf_dir, "documents"), keep=katz.EVERY)
+    return katz.scored(table(spark, sf_dir, "documents"))
 
 
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL, "op7_warc_chunks": warc.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL, "op6_katz_scoring": katz.ORACLE, "op7_warc_chunks": warc.ORACLE, "op8_chat_format": chat.ORACLE}
