@@ -18,7 +18,11 @@ the *relay* of its group of about C blocks; a relay adds its group's runs up and
 a bucket makes the totals.  So B blocks make about B * C runs on either level, C being the root of the number of buckets,
 and a run stays hundreds of keys long at any size of the corpus; a frequent word costs its bucket one number for each
 group.  Totals go back the same way.  ``SPANS`` stretches of the key space follow one another, to halve what is on disk.
-One block owns each n-gram and tells its context what it weighs, by the same exchange; buckets make the backoff weights.
+One block owns each n-gram and tells its context what it weighs, by the same exchange.
+
+A weight is kept as its two exact sums, of d(c) c over the n-grams hw and over the h'w: all P(w|h') after one h share the
+denominator c(h') + 1, so that a(h) = (1 - high / (c(h) + 1)) / (1 - low / (c(h') + 1)).  The sums have few distinct values
+and so take a byte or two, where a weight would take eight.
 
 The model is two tables, ``counts`` and ``backoff``, partitioned by order and part of the key space, and its ``meta``.
 ``score`` evaluates any documents by the tables: it asks for their n-grams and contexts by the same exchange and applies
@@ -54,11 +58,11 @@ BLOCK_TOKENS = 1 << 19
 #: Keys that a bucket receives, about.
 BUCKET_KEYS = 1 << 20
 #: Stretches of the key space that are exchanged one after the other: of trigrams, of contexts.
-SPANS, CONTEXT_SPANS = 2, 4
+SPANS, CONTEXT_SPANS = 2, 2
 
 _BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
-_RUN = "dest long, src long, n int, up boolean, keys binary, a binary, b binary, stats array<long>"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_RUN = "dest long, src long, n int, up boolean, keys binary, a binary, b binary, c binary, stats array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 _NAMES = [x.split()[0] for x in _RUN.split(", ")]
 #: What isn't addressed to anybody.
 _STATS, _MODEL = -1, -2
@@ -98,12 +102,14 @@ def unpack_bits(data: bytes) -> np.ndarray:
 
 
 def pack_floats(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Floats of which many are equal: the distinct ones and numbers of them."""
+    known, number = np.unique(values, return_inverse=True)
+    return known.size.to_bytes(8, "little") + known.tobytes() + pack(number)
 
 
 def unpack_floats(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.float64).reshape(-1)
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, dtype=np.float64, count=size, offset=8)[unpack(data[8 + 8 * size :]).astype(np.int64)]
 
 
 def _joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
@@ -160,7 +166,8 @@ class Block:
         offs = np.concatenate([[0], np.cumsum(self.sizes)])
         self.doc = np.repeat(np.arange(self.sizes.size), self.sizes)
         self.place = np.arange(self.doc.size) - offs[self.doc]
-        key = unpack(row["vocabulary"])[unpack(row["tokens"]).astype(np.int64)] if self.doc.size else np.zeros(0, dtype=np.uint64)
+        self.vocabulary, self.tokens = unpack(row["vocabulary"]), unpack(row["tokens"]).astype(np.int64)
+        key = self.vocabulary[self.tokens]
         self.key = {1: key}
         for n in range(2, ORDER + 1):
             # from the hash of the n-1 words before and the word: chained, so that a context's hash is one of order n-1
@@ -176,9 +183,12 @@ class Block:
         return np.unique(key, return_counts=True)
 
     def rank(self) -> None:
-        """For each order the distinct n-grams (``keys``), each token's among them (``type``) and one token of each (``at``)."""
-        self.keys, self.type, self.at = {}, {}, {}
-        for n in range(1, ORDER + 1):
+        """For each order the distinct n-grams (``keys``), each token's among them (``type``) and one token of each but words (``at``)."""
+        order = np.argsort(self.vocabulary)
+        place = np.empty(order.size, dtype=np.int32)
+        place[order] = np.arange(order.size)
+        self.keys, self.type, self.at = {1: self.vocabulary[order]}, {1: place[self.tokens]}, {}
+        for n in range(2, ORDER + 1):
             here = np.flatnonzero(self.place >= n - 1)
             key = self.key[n][here]
             order = np.argsort(key)
@@ -188,11 +198,10 @@ class Block:
             self.type[n][here[order]] = np.cumsum(new) - 1
             self.keys[n], self.at[n] = key[new], here[order[new]]
 
-    def told(self, rows: list[dict], unpacker: Callable[[bytes], np.ndarray]) -> tuple[dict, dict]:
-        """For each order what came back for ``keys``: the totals, and the second value."""
+    def told(self, rows: list[dict], *columns: tuple[str, Callable[[bytes], np.ndarray], type]) -> list[dict]:
+        """For each order what came back for ``keys``: the totals, and the values of other columns."""
         rows = sorted(rows, key=lambda r: r["src"])
-        total = {n: _joined([unpack(r["a"]).astype(np.int64) for r in rows if r["n"] == n]) for n in range(1, ORDER + 1)}
-        return total, {n: _joined([unpacker(r["b"]) for r in rows if r["n"] == n], bool if unpacker is unpack_bits else float) for n in range(1, ORDER + 1)}
+        return [{n: _joined([unpacker(r[c]).astype(kind) for r in rows if r["n"] == n], kind) for n in range(1, ORDER + 1)} for c, unpacker, kind in (("a", unpack, np.int64), *columns)]
 
     def probabilities(self, total: dict, model: Discounts) -> dict:
         """The discounted probability of each n-gram after its context; 0 for those that the model doesn't have."""
@@ -265,7 +274,7 @@ def _send(batches: Iterator[pa.RecordBatch], net: Net, orders: list[int], span:
             block = Block(row)
             for n in orders:
                 keys, count = block.counted(n, span)
-                yield _runs([(net.relay(block.number, c), block.number, n, True, pack_sorted(keys[x:y]), pack(count[x:y]), None, None) for c, x, y in net.cut(keys, net.coarse)])
+                yield _runs([(net.relay(block.number, c), block.number, n, True, pack_sorted(keys[x:y]), pack(count[x:y]), None, None, None) for c, x, y in net.cut(keys, net.coarse)])
 
 
 def _merged(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -295,8 +304,8 @@ def _relay(table: pa.Table, net: Net) -> pa.Table:
         keys, places = _merged(rows)
         total = _sums(rows, places, keys.size, "a", unpack).astype(np.int64)
         here = rows[0]["dest"]
-        out += [(f, here, n, True, pack_sorted(keys[x:y]), pack(total[x:y]), None, None) for f, x, y in net.cut(keys, net.coarse**2)]
-        out += [(here, r["src"], n, False, None, pack_sorted(p), None, None) for r, p in zip(rows, places, strict=True)]
+        out += [(f, here, n, True, pack_sorted(keys[x:y]), pack(total[x:y]), None, None, None) for f, x, y in net.cut(keys, net.coarse**2)]
+        out += [(here, r["src"], n, False, None, pack_sorted(p), None, None, None) for r, p in zip(rows, places, strict=True)]
     return pa.Table.from_batches([_runs(out)])
 
 
@@ -308,31 +317,33 @@ def _total(table: pa.Table) -> pa.Table:
         total = _sums(rows, places, keys.size, "a", unpack).astype(np.int64)
         first = _first(places, keys.size)
         here = rows[0]["dest"]
-        out.append((_STATS, here, n, False, None, None, None, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()))
-        out.append((_MODEL, here, n, False, pack_sorted(keys), pack(total), None, None))
-        out += [(r["src"], here, n, False, None, pack(total[p]), pack_bits(first[p] == k), None) for k, (r, p) in enumerate(zip(rows, places, strict=True))]
+        out.append((_STATS, here, n, False, None, None, None, None, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist()))
+        out.append((_MODEL, here, n, False, pack_sorted(keys), pack(total), None, None, None))
+        out += [(r["src"], here, n, False, None, pack(total[p]), pack_bits(first[p] == k), None, None) for k, (r, p) in enumerate(zip(rows, places, strict=True))]
     return pa.Table.from_batches([_runs(out)])
 
 
 def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """What the model's tables have for the n-grams that relays ask for: totals, and logarithms of backoff weights."""
+    """What the model's tables have for the n-grams that relays ask for: totals, and the sums that make backoff weights."""
     out = []
     tables: dict = {}
     for r in sorted(right.to_pylist(), key=lambda r: r["span"]):
-        tables.setdefault((r["n"], r["weights"]), []).append(r)
+        tables.setdefault((r["n"], r["name"]), []).append(r)
 
-    def found(n: int, weights: bool, keys: np.ndarray, unpacker: Callable, otherwise: float) -> np.ndarray:
-        rows = tables.get((n, weights), [])
-        have, values = _joined([unpack_sorted(r["keys"]) for r in rows], np.uint64), _joined([unpacker(r["values"]) for r in rows], float)
+    def found(n: int, name: str, column: str, keys: np.ndarray, unpacker: Callable[[bytes], np.ndarray]) -> np.ndarray:
+        rows = tables.get((n, name), [])
+        have, values = _joined([unpack_sorted(r["keys"]) for r in rows], np.uint64), _joined([unpacker(r[column]) for r in rows], float)
+        if not have.size:
+            return np.zeros(keys.size)
         place = np.searchsorted(have, keys)
         place[place == have.size] = 0
-        return np.where(have[place] == keys, values[place], otherwise) if have.size else np.full(keys.size, otherwise)
+        return np.where(have[place] == keys, values[place], 0.0)
 
     for n, rows in _by_order(left):
         for r in rows:
             keys = unpack_sorted(r["keys"])
-            total, weight = found(n, False, keys, unpack, 0), found(n, True, keys, unpack_floats, 1.0)
-            out.append((r["src"], r["dest"], n, False, None, pack(total), pack_floats(np.log(weight)), None))
+            high, low = (pack_floats(found(n, "backoff", c, keys, unpack_floats)) for c in ("a", "b"))
+            out.append((r["src"], r["dest"], n, False, None, pack(found(n, "counts", "a", keys, unpack)), high, low, None))
     return pa.Table.from_batches([_runs(out)])
 
 
@@ -340,13 +351,17 @@ def _down(left: pa.Table, right: pa.Table, net: Net, span: tuple[int, int], owne
     """A relay's answers to the blocks of its group."""
     out = []
     answers = dict(_by_order(right))
+    part = span[0] * net.coarse
     for n, rows in _by_order(left):
         total = np.concatenate([unpack(r["a"]) for r in answers[n]])
-        extra = np.concatenate([(unpack_bits if owned else unpack_floats)(r["b"]) for r in answers[n]])
         places = [unpack_sorted(r["a"]).astype(np.int64) for r in rows]
-        first = _first(places, total.size)
-        part = span[0] * net.coarse + rows[0]["dest"] % net.coarse
-        out += [(r["src"], part, n, False, None, pack(total[p]), pack_bits(extra[p] & (first[p] == k)) if owned else pack_floats(extra[p]), None) for k, (r, p) in enumerate(zip(rows, places, strict=True))]
+        if owned:
+            own, first = np.concatenate([unpack_bits(r["b"]) for r in answers[n]]), _first(places, total.size)
+            more = [(pack_bits(own[p] & (first[p] == k)), None) for k, p in enumerate(places)]
+        else:
+            sums = [np.concatenate([unpack_floats(r[c]) for r in answers[n]]) for c in ("b", "c")]
+            more = [tuple(pack_floats(x[p]) for x in sums) for p in places]
+        out += [(r["src"], part + r["dest"] % net.coarse, n, False, None, pack(total[p]), *extra, None) for r, p, extra in zip(rows, places, more, strict=True)]
     return pa.Table.from_batches([_runs(out)])
 
 
@@ -356,54 +371,55 @@ def _send_contexts(left: pa.Table, right: pa.Table, net: Net, model: Discounts,
     for row in left.to_pylist():
         block = Block(row)
         block.rank()
-        total, own = block.told(right.to_pylist(), unpack_bits)
-        p = block.probabilities(total, model)
+        total, own = block.told(right.to_pylist(), ("b", unpack_bits, bool))
         for n in range(2, ORDER + 1):
-            mine = np.flatnonzero(own[n])
-            at, size = block.at[n][mine], block.keys[n - 1].size
-            context, lower = block.type[n - 1][at - 1], block.type[n - 1][at]
-            high, low = np.bincount(context, weights=p[n][mine], minlength=size), np.bincount(context, weights=p[n - 1][lower], minlength=size)
             inside = _span(block.keys[n - 1], span)
-            has = np.flatnonzero(high[inside] > 0) + inside.start
-            keys = block.keys[n - 1][has]
-            out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[has[x:y]]), pack_floats(low[has[x:y]]), None) for c, x, y in net.cut(keys, net.coarse)]
-    return pa.Table.from_batches([_runs(out)])
-
-
-def _relay_contexts(table: pa.Table, net: Net) -> pa.Table:
-    out = []
-    for n, rows in _by_order(table):
-        keys, places = _merged(rows)
-        high, low = (_sums(rows, places, keys.size, c, unpack_floats) for c in ("a", "b"))
-        out += [(f, rows[0]["dest"], n, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None) for f, x, y in net.cut(keys, net.coarse**2)]
+            mine = np.flatnonzero(own[n])
+            at = block.at[n][mine]
+            context = block.type[n - 1][at - 1] - inside.start
+            here = (context >= 0) & (context < inside.stop - inside.start)
+            mine, at, context, size = mine[here], at[here], context[here], inside.stop - inside.start
+            high = np.bincount(context, weights=model.discounted(n, total[n][mine]), minlength=size)
+            low = np.bincount(context, weights=model.discounted(n - 1, total[n - 1][block.type[n - 1][at]]), minlength=size)
+            has = np.flatnonzero(high > 0)
+            keys, high, low = block.keys[n - 1][inside][has], high[has], low[has]
+            out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None, None) for c, x, y in net.cut(keys, net.coarse)]
     return pa.Table.from_batches([_runs(out)])
 
 
-def _weigh(table: pa.Table) -> pa.Table:
-    """A bucket's backoff weights."""
+def _add_contexts(table: pa.Table, net: Net, last: bool) -> pa.Table:
+    """The sums of contexts, added up by a relay or, at last, by a bucket."""
     out = []
     for n, rows in _by_order(table):
         keys, places = _merged(rows)
         high, low = (_sums(rows, places, keys.size, c, unpack_floats) for c in ("a", "b"))
-        out.append((_MODEL, rows[0]["dest"], n, False, pack_sorted(keys), pack_floats((1 - high) / (1 - low)), None, None))
+        here = rows[0]["dest"]
+        to = [(_MODEL, 0, keys.size)] if last else net.cut(keys, net.coarse**2)
+        out += [(f, here, n, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None, None) for f, x, y in to]
     return pa.Table.from_batches([_runs(out)])
 
 
 def _evaluate(left: pa.Table, right: pa.Table, model: Discounts, own: bool) -> pa.Table:
-    """The recursion for each token; the model's own documents never back off and so have no weights."""
+    """The recursion for each token; the model's own documents never back off and so were told no weights."""
     replies = right.to_pylist()
     docs, sizes, sums = [], [], []
     for row in left.to_pylist():
         block = Block(row)
         block.rank()
-        total, weight = block.told(replies, unpack_bits if own else unpack_floats)
+        total, *weights = block.told(replies, *([] if own else [("b", unpack_floats, float), ("c", unpack_floats, float)]))
         p = block.probabilities(total, model)
         score = np.log(p[1][block.type[1]])
         for n in range(2, ORDER + 1):
             here = np.flatnonzero(block.place >= n - 1)
             direct = p[n][block.type[n][here]]
+            backed = score[here]
+            if weights:
+                context = block.type[n - 1][here - 1]
+                shorter = model.tokens if n == 2 else total[n - 2][block.type[n - 2][here - 1]]
+                high, low = (w[n - 1][context] for w in weights)
+                backed = backed + np.log1p(-high / (total[n - 1][context] + 1)) - np.log1p(-low / (shorter + 1))
             with np.errstate(divide="ignore"):
-                score[here] = np.where(direct > 0, np.log(direct), weight[n - 1][block.type[n - 1][here - 1]] + score[here])
+                score[here] = np.where(direct > 0, np.log(direct), backed)
         docs += block.docs
         sizes.append(block.sizes)
         sums.append(np.bincount(block.doc, weights=score, minlength=block.sizes.size))
@@ -434,7 +450,7 @@ def _relayed(blocks: DataFrame, net: Net, orders: list[int], span: tuple[int, in
 
 def _stored(rows: DataFrame, folder: str, net: Net, span: int) -> None:
     """Adds a bucket's runs to a table of the model."""
-    rows.select(F.lit(span).alias("span"), F.col("src").alias("bucket"), "keys", F.col("a").alias("values"), "n", F.floor(F.col("src") / net.coarse).alias("part")).write.partitionBy("n", "part").mode("append").parquet(folder)
+    rows.select(F.lit(span).alias("span"), F.col("src").alias("bucket"), "keys", "a", "b", "n", F.floor(F.col("src") / net.coarse).alias("part")).write.partitionBy("n", "part").mode("append").parquet(folder)
 
 
 def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir: str, bucket_keys: int) -> tuple[DataFrame, Discounts]:
@@ -455,7 +471,7 @@ def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir:
     model = Discounts(counts, tokens)
     for k in range(CONTEXT_SPANS):
         sent = _cogrouped(blocks, "block", told, "dest", _bound(_send_contexts, net, model, (k, CONTEXT_SPANS)), _RUN)
-        weighed = sent.groupBy("dest").applyInArrow(lambda t: _relay_contexts(t, net), _RUN).groupBy("dest").applyInArrow(_weigh, _RUN)
+        weighed = sent.groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, False), _RUN).groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, True), _RUN)
         weighed = written(weighed, f"{base}/weights-{k}")
         _stored(weighed, f"{model_dir}/backoff", net, k)
         removed(blocks.sparkSession, f"{base}/weights-{k}")
@@ -485,7 +501,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def load(spark: SparkSession, model_dir: str) -> tuple[Discounts, int, DataFrame]:
     """The discounts of a stored model, its number of parts, and the rows of both tables."""
     meta = json.loads(spark.read.parquet(f"{model_dir}/meta").first().meta)
-    both = [spark.read.schema("span int, bucket long, keys binary, values binary, n int, part long").parquet(f"{model_dir}/{name}").withColumn("weights", F.lit(name == "backoff")) for name in ("counts", "backoff")]
+    both = [spark.read.schema("span int, bucket long, keys binary, a binary, b binary, n int, part long").parquet(f"{model_dir}/{name}").withColumn("name", F.lit(name)) for name in ("counts", "backoff")]
     return Discounts({int(n): c for n, c in meta["counts"].items()}, meta["tokens"]), meta["coarse"], both[0].unionByName(both[1])
 
 

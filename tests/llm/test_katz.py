@@ -91,9 +91,11 @@ def test_stored_model_sums_to_one(spark, tmp_path):
     assert model.unknown == pytest.approx(brute.unknown, abs=1e-12)
     rows = tables.collect()
     for n in (1, 2):
-        weights = sorted(x for r in rows if r.n == n and r.weights for x in katz.unpack_floats(r["values"]))
-        assert weights == pytest.approx(sorted(brute.weight(h) for h in brute.c[n] if h in brute.after), abs=1e-9)
-        assert sorted(int(x) for r in rows if r.n == n and not r.weights for x in katz.unpack(r["values"])) == sorted(brute.c[n].values())
+        assert sorted(int(x) for r in rows if r.n == n and r.name == "counts" for x in katz.unpack(r.a)) == sorted(brute.c[n].values())
+        sums = sorted(pair for r in rows if r.n == n and r.name == "backoff" for pair in zip(katz.unpack_floats(r.a), katz.unpack_floats(r.b), strict=True))
+        mass = lambda g: brute.d[len(g)].get(brute.c[len(g)][g], 1) * brute.c[len(g)][g]
+        want = sorted((sum(mass((*h, w)) for w in f), sum(mass((*h[1:], w)) for w in f)) for h, f in brute.after.items() if len(h) == n)
+        assert np.array(sums) == pytest.approx(np.array(want), abs=1e-9)
     h = next(iter(brute.c[2]))
     asked = docs(spark, [" ".join((*h, w)) for w in [*sorted(brute.words), "unheard"]])
     given = brute.score(" ".join(h))
