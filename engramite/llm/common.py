@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__engramite_row"
@@ -40,20 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/engramite-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder; the write's own shuffles are dropped with it."""
-    spark = df.sparkSession
-    folder = folder or shared_dir(spark)
+def stored(writer: DataFrameWriter, spark: SparkSession, folder: str) -> None:
+    """Writes Parquet; the shuffles of the write are dropped with it."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(folder)
+        writer.parquet(folder)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Cuts the lineage: the rows as a Parquet table in the shared folder."""
+    folder = folder or shared_dir(df.sparkSession)
+    stored(df.write.mode("overwrite"), df.sparkSession, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

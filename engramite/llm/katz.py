@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramite.llm import textops
-from engramite.llm.common import ident, removed, shared_dir, spread, string, written
+from engramite.llm.common import ident, removed, shared_dir, spread, stored, string, written
 
 ORDER, K = 3, 5
 KEY_BITS = 56
@@ -58,9 +58,10 @@ BLOCK_TOKENS = 1 << 19
 #: Keys that a bucket receives, about.
 BUCKET_KEYS = 1 << 20
 #: Stretches of the key space that are exchanged one after the other: of trigrams, of contexts.
-SPANS, CONTEXT_SPANS = 2, 2
+SPANS, CONTEXT_SPANS = 2, 3
 
 _BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
+_PRICED = f"{_BLOCK}, totals array<binary>, own array<binary>"
 _RUN = "dest long, src long, n int, up boolean, keys binary, a binary, b binary, c binary, stats array<long>"
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 _NAMES = [x.split()[0] for x in _RUN.split(", ")]
@@ -365,13 +366,25 @@ def _down(left: pa.Table, right: pa.Table, net: Net, span: tuple[int, int], owne
     return pa.Table.from_batches([_runs(out)])
 
 
-def _send_contexts(left: pa.Table, right: pa.Table, net: Net, model: Discounts, span: tuple[int, int]) -> pa.Table:
+def _price(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block with the totals of its n-grams and which of them it owns, in order."""
+    rows, replies = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["src"])
+    of = lambda n, c, unpacker, kind: _joined([unpacker(r[c]) for r in replies if r["n"] == n], kind)
+    totals = [pack(of(n, "a", unpack, np.uint64)) for n in range(1, ORDER + 1)]
+    own = [pack_bits(of(n, "b", unpack_bits, bool)) for n in range(1, ORDER + 1)]
+    return pa.Table.from_pylist([r | {"totals": totals, "own": own} for r in rows], schema=left.schema.append(pa.field("totals", pa.list_(pa.binary()))).append(pa.field("own", pa.list_(pa.binary()))))
+
+
+def _totals(row: dict) -> dict:
+    return {n: unpack(x).astype(np.int64) for n, x in enumerate(row["totals"], 1)}
+
+
+def _send_contexts(batches: Iterator[pa.RecordBatch], net: Net, model: Discounts, span: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """What the n-grams that a block owns weigh together after each context, and by the next lower order."""
-    out = []
-    for row in left.to_pylist():
-        block = Block(row)
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        block, out = Block(row), []
         block.rank()
-        total, own = block.told(right.to_pylist(), ("b", unpack_bits, bool))
+        total, own = _totals(row), {n: unpack_bits(x) for n, x in enumerate(row["own"], 1)}
         for n in range(2, ORDER + 1):
             inside = _span(block.keys[n - 1], span)
             mine = np.flatnonzero(own[n])
@@ -384,7 +397,7 @@ def _send_contexts(left: pa.Table, right: pa.Table, net: Net, model: Discounts,
             has = np.flatnonzero(high > 0)
             keys, high, low = block.keys[n - 1][inside][has], high[has], low[has]
             out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None, None) for c, x, y in net.cut(keys, net.coarse)]
-    return pa.Table.from_batches([_runs(out)])
+        yield _runs(out)
 
 
 def _add_contexts(table: pa.Table, net: Net, last: bool) -> pa.Table:
@@ -399,31 +412,44 @@ def _add_contexts(table: pa.Table, net: Net, last: bool) -> pa.Table:
     return pa.Table.from_batches([_runs(out)])
 
 
-def _evaluate(left: pa.Table, right: pa.Table, model: Discounts, own: bool) -> pa.Table:
-    """The recursion for each token; the model's own documents never back off and so were told no weights."""
-    replies = right.to_pylist()
-    docs, sizes, sums = [], [], []
+def _logprobs(block: Block, model: Discounts, total: dict, weights: list[dict]) -> np.ndarray:
+    """The recursion for each token of a block; without weights nothing may back off."""
+    p = block.probabilities(total, model)
+    score = np.log(p[1][block.type[1]])
+    for n in range(2, ORDER + 1):
+        here = np.flatnonzero(block.place >= n - 1)
+        direct = p[n][block.type[n][here]]
+        backed = score[here]
+        if weights:
+            context = block.type[n - 1][here - 1]
+            shorter = model.tokens if n == 2 else total[n - 2][block.type[n - 2][here - 1]]
+            high, low = (w[n - 1][context] for w in weights)
+            backed = backed + np.log1p(-high / (total[n - 1][context] + 1)) - np.log1p(-low / (shorter + 1))
+        with np.errstate(divide="ignore"):
+            score[here] = np.where(direct > 0, np.log(direct), backed)
+    return np.bincount(block.doc, weights=score, minlength=block.sizes.size)
+
+
+def _results(block: Block, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(block.sizes, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "logprob"])
+
+
+def _evaluate_own(batches: Iterator[pa.RecordBatch], model: Discounts) -> Iterator[pa.RecordBatch]:
+    """The scores of the model's own documents, which never back off."""
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        block = Block(row)
+        block.rank()
+        yield _results(block, _logprobs(block, model, _totals(row), []))
+
+
+def _evaluate(left: pa.Table, right: pa.Table, model: Discounts) -> pa.Table:
+    out = []
     for row in left.to_pylist():
         block = Block(row)
         block.rank()
-        total, *weights = block.told(replies, *([] if own else [("b", unpack_floats, float), ("c", unpack_floats, float)]))
-        p = block.probabilities(total, model)
-        score = np.log(p[1][block.type[1]])
-        for n in range(2, ORDER + 1):
-            here = np.flatnonzero(block.place >= n - 1)
-            direct = p[n][block.type[n][here]]
-            backed = score[here]
-            if weights:
-                context = block.type[n - 1][here - 1]
-                shorter = model.tokens if n == 2 else total[n - 2][block.type[n - 2][here - 1]]
-                high, low = (w[n - 1][context] for w in weights)
-                backed = backed + np.log1p(-high / (total[n - 1][context] + 1)) - np.log1p(-low / (shorter + 1))
-            with np.errstate(divide="ignore"):
-                score[here] = np.where(direct > 0, np.log(direct), backed)
-        docs += block.docs
-        sizes.append(block.sizes)
-        sums.append(np.bincount(block.doc, weights=score, minlength=block.sizes.size))
-    return pa.table([pa.array(docs, pa.int64()), pa.array(_joined(sizes), pa.int64()), pa.array(_joined(sums, float))], names=["doc_id", "n_tokens", "logprob"])
+        total, *weights = block.told(right.to_pylist(), ("b", unpack_floats, float), ("c", unpack_floats, float))
+        out.append(_results(block, _logprobs(block, model, total, weights)))
+    return pa.Table.from_batches(out)
 
 
 def _bound(function: Callable, *more: object) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -449,12 +475,13 @@ def _relayed(blocks: DataFrame, net: Net, orders: list[int], span: tuple[int, in
 
 
 def _stored(rows: DataFrame, folder: str, net: Net, span: int) -> None:
-    """Adds a bucket's runs to a table of the model."""
-    rows.select(F.lit(span).alias("span"), F.col("src").alias("bucket"), "keys", "a", "b", "n", F.floor(F.col("src") / net.coarse).alias("part")).write.partitionBy("n", "part").mode("append").parquet(folder)
+    """Adds a bucket's runs to a table of the model; the write's own shuffles are dropped with it."""
+    rows = rows.select(F.lit(span).alias("span"), F.col("src").alias("bucket"), "keys", "a", "b", "n", F.floor(F.col("src") / net.coarse).alias("part"))
+    stored(rows.write.partitionBy("n", "part").mode("append"), rows.sparkSession, folder)
 
 
 def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir: str, bucket_keys: int) -> tuple[DataFrame, Discounts]:
-    """Writes the model and gives what each block was told of its n-grams."""
+    """Writes the model and gives the blocks with what they were told of their n-grams."""
     net = Net.of(max(1, math.ceil(math.sqrt(1.6 * tokens / bucket_keys))), n_blocks)
     counts = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
     told = None
@@ -468,16 +495,16 @@ def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir:
         own = written(own, f"{base}/told-{name}")
         told = own if told is None else told.unionByName(own)
         removed(blocks.sparkSession, f"{base}/up-{name}", f"{base}/totals-{name}")
+    priced = written(_cogrouped(blocks, "block", told, "dest", _price, _PRICED), f"{base}/priced")
+    spark = blocks.sparkSession
+    removed(spark, f"{base}/blocks", *[f"{base}/told-{k}" for k in range(SPANS + 1)])
     model = Discounts(counts, tokens)
     for k in range(CONTEXT_SPANS):
-        sent = _cogrouped(blocks, "block", told, "dest", _bound(_send_contexts, net, model, (k, CONTEXT_SPANS)), _RUN)
-        weighed = sent.groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, False), _RUN).groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, True), _RUN)
-        weighed = written(weighed, f"{base}/weights-{k}")
-        _stored(weighed, f"{model_dir}/backoff", net, k)
-        removed(blocks.sparkSession, f"{base}/weights-{k}")
-    spark = blocks.sparkSession
+        sent = priced.mapInArrow(lambda batches, k=k: _send_contexts(batches, net, model, (k, CONTEXT_SPANS)), _RUN)
+        summed = sent.groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, False), _RUN).groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, True), _RUN)
+        _stored(summed, f"{model_dir}/backoff", net, k)
     spark.createDataFrame([(json.dumps({"coarse": net.coarse, "tokens": tokens, "counts": counts}),)], "meta string").coalesce(1).write.parquet(f"{model_dir}/meta")
-    return told, model
+    return priced, model
 
 
 def _scores(rows: DataFrame) -> DataFrame:
@@ -492,9 +519,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spark = docs.sparkSession
     base = shared_dir(spark)
     blocks, n_blocks, tokens = _blocked(docs, id_col, text_col, f"{base}/blocks", block_tokens)
-    told, model = _train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys)
-    done = written(_cogrouped(blocks, "block", told, "dest", _bound(_evaluate, model, True), _SCORES), f"{base}/scores")
-    removed(spark, f"{base}/blocks", *[f"{base}/told-{k}" for k in range(SPANS + 1)])
+    priced, model = _train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys)
+    done = written(priced.mapInArrow(lambda batches: _evaluate_own(batches, model), _SCORES), f"{base}/scores")
+    removed(spark, f"{base}/priced")
     return _scores(done)
 
 
@@ -518,7 +545,7 @@ def score(docs: DataFrame, model_dir: str, id_col: str = "doc_id", text_col: str
     tables = tables.join(asked.select(F.col("dest").alias("bucket")).distinct(), "bucket", "left_semi")
     answers = _cogrouped(asked, "dest", tables, "bucket", _answer, _RUN)
     told = written(_cogrouped(up.where("NOT up"), "dest", answers, "dest", _bound(_down, net, whole, False), _RUN), f"{base}/told")
-    done = written(_cogrouped(blocks, "block", told, "dest", _bound(_evaluate, model, False), _SCORES), f"{base}/scores")
+    done = written(_cogrouped(blocks, "block", told, "dest", _bound(_evaluate, model), _SCORES), f"{base}/scores")
     removed(spark, f"{base}/blocks", f"{base}/up", f"{base}/told")
     return _scores(done)
 
