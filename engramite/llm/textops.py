@@ -166,17 +166,14 @@ class TermSet:
         return at[ok], place[ok]
 
 
-def token_counts(column: pa.Array) -> np.ndarray:
-    """Tokens of each row, where a word or any other character but ASCII white space is one token."""
-    data, offs = buffers(column)
+def token_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts of the tokens of all rows, where a word or any other character but ASCII white space is one token, and the rows' offsets among them."""
     if not data.size:
-        return np.zeros(len(offs) - 1, dtype=np.int64)
-    starts, _ = boundaries(data, offs)
-    marks = np.zeros(data.size + 1, dtype=np.int32)
-    marks[1:] = ~_WORD[data] & ~_SPACE[data]
-    marks[starts + 1] = 1
-    total = np.cumsum(marks, dtype=np.int64)
-    return total[offs[1:]] - total[offs[:-1]]
+        return np.zeros(0, dtype=np.int64), np.zeros(len(offs), dtype=np.int64)
+    mark = ~_WORD[data] & ~_SPACE[data]
+    mark[boundaries(data, offs)[0]] = True
+    starts = np.flatnonzero(mark)
+    return starts, np.searchsorted(starts, offs)
 
 
 def ngrams(hashes: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramite.llm import textops
-from engramite.llm.common import written
+from engramite.llm.common import ident, spread, string, written
 from engramite.llm.minhash import row_key
 
 #: Bounds of the fitting: labelled rows to mine, mined terms, documents of the smaller class for the classifier.
@@ -104,7 +104,7 @@ def _one_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mined(rows: DataFrame, labels: DataFrame, label_rows: int = LABELLED_ROWS, most: int = MINED_TERMS) -> list[tuple[int, int]]:
     """Terms that mark labelled toxic documents: (hash, kind), from one document of each family of copies."""
-    sample = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("toxic").cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IS NOT NULL")
+    sample = labels.select(ident("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IS NOT NULL")
     sample = sample.orderBy(F.xxhash64("doc"), "doc").limit(label_rows).groupBy("doc").agg(F.max("toxic").alias("toxic"))
     labelled = rows.where("doc IS NOT NULL").join(F.broadcast(sample), "doc").select("text", "toxic")
     single = labelled.mapInArrow(_one_shingle, "text string, toxic int, copy long").groupBy("copy", "toxic").agg(F.max("text").alias("text"))
@@ -248,7 +248,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[Lexicon, LabelModel, Linear]:
     """The voters, the label model over all documents, and the classifier."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(ident(id_col).alias("doc"), string(text_col).alias("text")).where("text IS NOT NULL")
     lexicon = Lexicon(mined(rows, labels) if labels is not None else [])
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -256,6 +256,7 @@ def fitted(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
         for part in textops.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(shared.value.votes(part.column("text")))], names=["key", "mask"])
 
+    rows = spread(rows)
     keyed = rows.select(row_key(F.col("doc"), F.col("text")).alias("key"), "text")
     votes = written(keyed.mapInArrow(vote, "key long, mask long"))
     counted = votes.groupBy("mask").count().orderBy("mask").collect()
@@ -271,8 +272,8 @@ def fitted(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
 
 def scored(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, toxicity) of every document with a text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(ident(id_col).alias("doc_id"), string(text_col).alias("text")).where("text IS NOT NULL")
+    rows, shared = spread(rows), docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textops.slices(batches, "text"):

@@ -79,6 +79,28 @@ def test_empty_table(spark):
     assert minhash.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_a_bucket_of_a_hundred_thousand_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same few words again and again").otherwise("the same few words again and again").alias("text"))
+    out = minhash.duplicates(rows).agg(F.count("*").alias("n"), F.max("duplicate_of").alias("rep"), F.count_distinct("doc_id").alias("ids")).first()
+    assert (out.n, out.rep, out.ids) == (99_999, 0, 99_999)
+
+
+def test_large_lists_of_rows_to_leave_out(spark, monkeypatch):
+    from engramite.llm import common
+
+    texts = [prose(k % 10, 30) for k in range(40)] + [None]
+    small = sorted(str(tuple(r)) for r in minhash.deduplicate(docs(spark, texts)).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(str(tuple(r)) for r in minhash.deduplicate(docs(spark, texts)).collect()) == small and len(small) == 11
+
+
+def test_ids_that_are_no_numbers(spark):
+    table = spark.createDataFrame([("doc-17", "a b c d"), ("doc-18", "a b c d"), ("3", "a b c d")], "`a.id` string, text string")
+    assert [r["a.id"] for r in minhash.deduplicate(table, "a.id").collect()] == ["3"]
+
+
 def test_long_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long").repartition(4)
     assert {r.root for r in minhash.components(edges).collect()} == {0}
