@@ -4,15 +4,16 @@ A version is a row (path, text); its blob is the SHA-256 of the text.  The ledge
 (blob, rule, rule version) triples that were scanned and their findings, so a run scans only the
 triples it hasn't seen and joins all findings back to every path that ever had the blob.
 
-Each rule names literal anchors without which it can't match.  Whether a text holds any is decided
-by one pass of an automaton over the Arrow column, beside the hash, while the table is read; only texts
+Each rule names literal anchors without which it can't match.  The ledger is asked first, by the hash; whether an
+unseen text holds an anchor is decided by one pass of an automaton over the Arrow column while the table is read; only texts
 that hold one are moved and scanned, whole, so that the shuffle is a small part of the input.  Ledger entries of a run go
 to a folder of its own and its scanned triples are written last: a run that dies leaves
 nothing that counts.
 
-Cases: a null text has no blob and no findings; an empty one has a blob without findings; null
-paths and ids stay null in the findings; repeated rows are paths of one blob, each reported; an
-empty table gives no findings.
+Cases: a null text has no blob and no findings; an empty one has a blob without findings; a very long one is scanned whole; null
+paths and ids stay null in the findings, and an id that is no whole number counts as null; repeated rows are paths of one blob,
+each reported; findings of different rules may overlap, and ``redact`` masks the first, or of equal starts the longest, and what the
+others have beyond it; columns with clashing names stay as they are; an empty table gives no findings.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramite.llm.common import ROW, col, packed, shared_dir, unpacked, written
+from engramite.llm.common import ROW, col, exists, ident, is_small, packed, shared_dir, spread, string, unpacked, written
 from engramite.llm.textops import slices
 
 
@@ -74,14 +74,14 @@ def blob(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _address(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
-    """Replaces each text by its blob, and by itself only where it has an anchor."""
+def _screen(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+    """Keeps each unseen text only where it has an anchor; the texts of known blobs aren't looked at."""
     for part in slices(batches, "text"):
-        text = part.column("text")
-        blobs = pa.array(map(blob, text.to_pylist()), pa.string())
-        hot = anchored(text, rules).to_numpy(zero_copy_only=False)
+        text, known = part.column("text"), part.column("known").to_numpy(zero_copy_only=False)
+        hot = np.zeros(len(text), dtype=bool)
+        hot[~known] = anchored(text.filter(pa.array(~known)), rules).to_numpy(zero_copy_only=False)
         kept = text.take(pa.array(np.arange(len(text)), mask=~hot))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("path"), blobs, kept], names=["doc_id", "path", "blob", "text"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "path", "blob")), kept, part.column("known")], names=["doc_id", "path", "blob", "text", "known"])
 
 
 def _split(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], hot: bool) -> Iterator[pa.RecordBatch]:
@@ -99,11 +99,8 @@ def _scan(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterato
     for batch in batches:
         rows: list[tuple] = []
         for sha, text, tags in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), batch.column("pending").to_pylist(), strict=True):
-            low = text.lower()
             for tag in tags:
                 rule, pattern = compiled[tag]
-                if not any(a in low for a in rule.anchors):
-                    continue
                 for n, m in enumerate(pattern.finditer(text), 1):
                     rows.append((sha, rule.name, rule.version, n, m.start(), m.end(), hashlib.sha256(m.group().encode()).hexdigest()))
         names = ["blob", "rule", "version", "n", "start", "end", "digest"]
@@ -112,11 +109,19 @@ def _scan(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch]) -> Iterato
 
 
 def _read(df: DataFrame, folder: str, schema: str) -> DataFrame:
+    """The tables of all runs; none is there before the first run, and one that can't be read is an error."""
     spark = df.sparkSession
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException:  # no run so far
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def complete(df: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame | None:
+    """The blobs that need no scan by any of the rules; None before the first run."""
+    if not exists(df.sparkSession, f"{ledger}/scanned/*"):
+        return None
+    seen = _read(df, f"{ledger}/scanned/*", "blob string, tags array<string>").select("blob", F.explode("tags").alias("tag")).where(F.col("tag").isin([r.tag for r in rules]))
+    return seen.groupBy("blob").agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(rules)).select("blob")
 
 
 def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,9 +146,19 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
 
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", path_col: str = "source", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, path, blob, rule, version, n, start, end, digest): every finding in every row, by character offsets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    staged = written(rows.mapInArrow(lambda batches: _address(batches, rules), "doc_id long, path string, blob string, text string"))
-    return staged.select("doc_id", "path", "blob").join(update(staged.select("blob", "text"), ledger or shared_dir(docs.sparkSession), rules), "blob").select("doc_id", "path", "blob", "rule", "version", "n", "start", "end", "digest")
+    ledger = ledger or shared_dir(docs.sparkSession)
+    rows = spread(docs.select(ident(id_col).alias("doc_id"), string(path_col).alias("path"), string(text_col).alias("text")).where("text IS NOT NULL"))
+    rows = rows.withColumn("blob", F.sha2("text", 256))
+    # the ledger is asked before any text is looked at
+    seen = complete(docs, ledger, rules)
+    if seen is None:
+        rows = rows.withColumn("known", F.lit(False))
+    else:
+        seen = written(seen)
+        known = seen.select(F.col("blob").alias("b"))
+        rows = rows.join(F.broadcast(known) if is_small(known) else known, F.col("blob") == F.col("b"), "left").withColumn("known", F.col("b").isNotNull()).drop("b")
+    staged = written(rows.select("doc_id", "path", "blob", "text", "known").mapInArrow(lambda batches: _screen(batches, rules), "doc_id long, path string, blob string, text string, known boolean"))
+    return staged.select("doc_id", "path", "blob").join(update(staged.where("NOT known").select("blob", "text"), ledger, rules), "blob").select("doc_id", "path", "blob", "rule", "version", "n", "start", "end", "digest")
 
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from engramite.llm import secrets
 from tests.llm.frames import clashing, docs, prose
 
@@ -54,6 +56,29 @@ def test_redact(spark):
     assert got == {1: (text, len(text)), 2: (None, None), 3: ("", 0), 4: ("plain", 5), None: (text, len(text))}
 
 
+def test_letters_that_fold_to_an_anchor(spark):
+    texts = ['\u017fecret = "abcdefghijklmnop1234"', 'TO\u212aEN: "abcdefghijklmnop1234"']
+    assert found(secrets.scan(docs(spark, texts))) == brute(texts) != []
+
+
+def test_an_unreadable_ledger_is_an_error(spark, tmp_path):
+    (tmp_path / "scanned").mkdir()
+    (tmp_path / "scanned" / "x").mkdir()
+    (tmp_path / "scanned" / "x" / "part.parquet").write_text("broken")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        secrets.scan(docs(spark, [KEY]), f"file://{tmp_path}").collect()
+
+
+def test_the_ledger_may_be_large(spark, tmp_path, monkeypatch):
+    from engramite.llm import common
+
+    ledger = f"file://{tmp_path}/ledger"
+    texts = [f"x {KEY}", "plain", None]
+    secrets.scan(docs(spark, texts), ledger).collect()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert found(secrets.scan(docs(spark, [*texts, f"y {TOKEN}"]), ledger)) == brute([*texts, f"y {TOKEN}"])
+
+
 def test_empty_table(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
     assert secrets.redact(docs(spark, [])).count() == 0
