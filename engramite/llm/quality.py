@@ -1,56 +1,60 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
-A bounded sample tells how long each rule takes and which rows it rejects; rules are then ordered
-greedily by (rows still left that it rejects) / (its seconds).  The cascade is one CASE expression,
-so a rule runs only on rows that all earlier rules passed.  The order changes which rule is named
-for a row that breaks several, never whether a row is kept.
+A bounded sample tells what each rule costs on these texts and which of them it rejects: one job counts the sampled
+rows by the set of rules that reject them and adds up each rule's work, an expression over the text in units of about
+one character looked at.  Rules are then ordered greedily by (rows still left that it rejects) / (its work), the same
+order for the same sample whatever else the machine does.  The cascade is one CASE expression, so a rule runs only on
+rows that all earlier rules passed.  The order changes which rule is named for a row that breaks several, never whether
+a row is kept.
 
 Cases: a null, empty or blank text is rejected (``blank``); other rules say nothing about a null
-text or a zero denominator; a very long text is judged whole; repeated rows are judged alike; an
-empty table, or one whose sample is empty, keeps the rules in the order given.
+text or a zero denominator; a very long text is judged, and sampled, whole; repeated rows are judged alike; of rules of equal
+gain the cheaper, then the earlier one comes first; columns with clashing names stay as they are; an empty table keeps the
+rules in the order given.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramite.llm.common import col, packed, unpacked
+from engramite.llm.common import packed, spread, string, unpacked
+
+#: Rows of the sample, the first that the table's partitions give.
+SAMPLE_ROWS = 512
 
-#: Sampled rows, and the longest text among them: together they bound what the driver holds.
-SAMPLE_ROWS, SAMPLE_CHARS = 512, 1 << 16
 
 @dataclass(frozen=True)
 class Rule:
-    """``spark`` and ``duckdb`` are the same predicate over a column ``t``: true rejects the text."""
+    """``spark`` and ``duckdb`` are the same predicate over a column ``t``: true rejects the text.  ``work`` is its cost."""
 
     name: str
     spark: str
     duckdb: str = ""
+    work: str = "length(t)"
 
 
 def _many(name: str, chars: str, share: str) -> Rule:
     """Rejects texts of which more than a share is characters of a class."""
     # counted by matches in Spark, where they are rare in good texts, and by what removal leaves in DuckDB
     java = chars.replace("\\", "\\\\")
-    return Rule(name, f"regexp_count(t, '[{java}]') > {share}D * length(t)", f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')) > CAST({share} AS DOUBLE) * length(t)")
+    return Rule(name, f"regexp_count(t, '[{java}]') > {share}D * length(t)", f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g')) > CAST({share} AS DOUBLE) * length(t)", "6 * length(t)")
 
 
 def _listed(name: str, at: str, spark: str, duckdb: str) -> Rule:
     """A predicate over the pieces ``w`` between separators, which are made once."""
-    return Rule(name, f"transform(array(split(t, '{at}')), w -> {spark})[0]", f"list_transform([string_split(t, '{at}')], lambda w: {duckdb})[1]")
+    return Rule(name, f"transform(array(split(t, '{at}')), w -> {spark})[0]", f"list_transform([string_split(t, '{at}')], lambda w: {duckdb})[1]", "4 * length(t)")
 
 
 RULES = [
-    Rule("blank", r"t IS NULL OR NOT t RLIKE '[^ \\t\\r\\n]'", r"t IS NULL OR NOT regexp_matches(t, '[^ \t\r\n]')"),
+    Rule("blank", r"t IS NULL OR NOT t RLIKE '[^ \\t\\r\\n]'", r"t IS NULL OR NOT regexp_matches(t, '[^ \t\r\n]')", "1 + length(t) - length(ltrim(t))"),
     _many("symbols", r"#*$%&|!~\^<>{}=+_", "0.05"),
     _many("shouting", r"\p{Lu}", "0.4"),
     _many("garbled", r"\x{0}-\x{8}\x{FFFD}", "0.01"),
-    Rule("digits", "length(t) >= 200 AND regexp_count(t, '[0-9]') > 0.5D * length(t)", "length(t) >= 200 AND length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) > CAST(0.5 AS DOUBLE) * length(t)"),
-    Rule("word_length", "length(t) > 30 * (size(split(t, ' ')) + size(split(t, '\n')))", "length(t) > 30 * (len(string_split(t, ' ')) + len(string_split(t, '\n')))"),
+    Rule("digits", "length(t) >= 200 AND regexp_count(t, '[0-9]') > 0.5D * length(t)", "length(t) >= 200 AND length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) > CAST(0.5 AS DOUBLE) * length(t)", "CASE WHEN length(t) >= 200 THEN 6 * length(t) ELSE 1 END"),
+    Rule("word_length", "length(t) > 30 * (size(split(t, ' ')) + size(split(t, '\n')))", "length(t) > 30 * (len(string_split(t, ' ')) + len(string_split(t, '\n')))", "3 * length(t)"),
     _listed("duplicate_lines", "\n", "size(w) >= 4 AND size(array_distinct(w)) < 0.5D * size(w)", "len(w) >= 4 AND len(list_distinct(w)) < CAST(0.5 AS DOUBLE) * len(w)"),
     _listed("repeated_words", " ", "size(w) >= 8 AND size(filter(w, (x, i) -> i > 0 AND x <> '' AND x = w[i - 1])) > 0.3D * size(w)", "len(w) >= 8 AND len(list_filter(list_zip(w, w[2:]), lambda p: p[1] <> '' AND p[1] = p[2])) > CAST(0.3 AS DOUBLE) * len(w)"),
     # vocabularies grow like the square root of a text, so a share would reject every long text
@@ -63,33 +67,20 @@ def rejected(rule: Rule, text: Column) -> Column:
     return F.coalesce(F.expr(rule.spark), F.lit(False))
 
 
-def ordered(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
+def ordered(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, as the sample tells."""
-    spark = docs.sparkSession
-    text = col(text_col).cast("string").alias("t")
-    sample = docs.select(text).where(f"t IS NULL OR length(t) <= {SAMPLE_CHARS}").sample(0.5, seed).limit(rows).collect()
-    if not sample:
-        return list(rules)
-    local = spark.createDataFrame([(r.t,) for r in sample], "t string")
-    flags = local.select(*[rejected(r, F.col("t")).alias(f"r{k}") for k, r in enumerate(rules)]).collect()
-
-    def seconds(condition: Column) -> float:
-        query = local.agg(F.sum(condition.cast("int")))
-        took = []
-        for _ in range(3):
-            began = time.perf_counter()
-            query.collect()
-            took.append(time.perf_counter() - began)
-        return min(took)
-
-    base = seconds(F.col("t").isNull())
-    cost = [max(seconds(rejected(r, F.col("t"))) - base, 1e-4) for r in rules]
-    left, todo, order = set(range(len(flags))), set(range(len(rules))), []
+    sample = docs.select(string(text_col).alias("t")).limit(rows)
+    flags = F.array(*[rejected(r, F.col("t")) for r in rules]).alias("flags")
+    work = [F.sum(F.expr(f"CAST(coalesce({r.work}, 1) AS DOUBLE)")).alias(f"w{k}") for k, r in enumerate(rules)]
+    # at most a row for each sampled one
+    told = sample.withColumn("flags", flags).groupBy("flags").agg(F.count("*").alias("n"), *work).collect()
+    cost = [sum(r[f"w{k}"] for r in told) + 1.0 for k in range(len(rules))]
+    left, todo, order = list(told), set(range(len(rules))), []
     while todo:
-        gain = {k: sum(flags[i][k] for i in left) / cost[k] for k in todo}
-        best = max(todo, key=lambda k: (gain[k], -cost[k], -k))
+        gain = {k: sum(r.n for r in left if r.flags[k]) / cost[k] for k in todo}
+        best = max(todo, key=lambda k: (gain[k], -cost[k], -k)) if told else min(todo)
         order.append(rules[best])
-        left -= {i for i in left if flags[i][best]}
+        left = [r for r in left if not r.flags[best]]
         todo.remove(best)
     return order
 
@@ -97,7 +88,7 @@ def ordered(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES,
 def decisions(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """Packed rows with ``rejected_by``, the first rule of the cascade that rejects; null for kept rows."""
     cascade = ordered(docs, text_col) if rules is None else rules
-    rows = packed(docs, t=col(text_col).cast("string"))
+    rows = spread(packed(docs, t=string(text_col)))
     case = "CASE " + " ".join(f"WHEN coalesce({r.spark}, false) THEN '{r.name}'" for r in cascade) + " END" if cascade else "CAST(NULL AS STRING)"
     return rows.withColumn("rejected_by", F.expr(case)).drop("t")
 
