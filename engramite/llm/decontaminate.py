@@ -7,9 +7,13 @@ benchmark phrases (every n consecutive words of an item; the whole item where it
 searched backwards through wavelet-matrix ranks, located by sampled suffix positions, and
 overlapping or adjacent occurrences merge to spans of words.
 
-Cases: null or empty texts and null or wordless items match nothing; items of fewer than
-``SHORTEST`` words are ignored, as they would match ordinary prose; repeated rows are searched
-each on their own; an empty benchmark leaves all documents as they are.
+Items of fewer words than ``shortest`` are left out, which by default are none: an item of one word then removes that word
+everywhere.  A shard lasts as long as its slice of the table is in hand; nothing of the index is kept.
+
+Cases: null or empty texts and null or wordless items match nothing; a very long text is a shard of its own, searched whole;
+equal items count once; repeated rows are searched each on their own; a null id stays null, and one that is no whole
+number counts as null; columns with clashing names stay as they are; an empty table gives no rows and an empty benchmark
+leaves all documents as they are.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramite.llm import textops
-from engramite.llm.common import ROW, packed
+from engramite.llm.common import ROW, ident, packed, spread, string
 from engramite.llm.fmindex import FMIndex
 
-PHRASE, SHORTEST = 8, 4
+PHRASE = 8
 #: Phrases searched in one pass over the shards; a larger benchmark takes several passes.
 PHRASES_PER_PASS = 1 << 20
 #: Bytes of text in one shard.
@@ -36,15 +41,15 @@ SHARD_BYTES = 2 << 20
 class Phrases:
     """The benchmark's vocabulary (sorted word hashes) and its phrases as rows of vocabulary numbers."""
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], shortest: int = 1) -> None:
         hashes, offs = textops.words(pa.array(texts, pa.string()))
         size = np.diff(offs)
-        ok = np.repeat(size >= SHORTEST, size)
+        ok = np.repeat(size >= shortest, size)
         self.vocabulary = np.unique(hashes[ok])
         number = np.searchsorted(self.vocabulary, hashes)
         rows: dict[int, list[np.ndarray]] = {}
         for start, n in zip(offs[:-1], size, strict=True):
-            if n >= SHORTEST:
+            if n >= max(1, shortest):
                 width = min(int(n), PHRASE)
                 item = number[start : start + n]
                 rows.setdefault(width, []).append(np.lib.stride_tricks.sliding_window_view(item, width))
@@ -113,16 +118,18 @@ def cut(text: str, first: np.ndarray, after: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def passes(benchmark: DataFrame, text_col: str = "text") -> list[Phrases]:
-    """The benchmark's phrases in sets of bounded size; its items are streamed, not collected at once."""
-    found, texts, n = [], [], 0
-    for item in benchmark.select(F.col(text_col).cast("string").alias("text")).where("text is not null").distinct().toLocalIterator():
+def passes(benchmark: DataFrame, shortest: int = 1, text_col: str = "text") -> Iterator[Broadcast]:
+    """The benchmark's phrases in broadcast sets of bounded size; the driver holds one set at a time."""
+    share = benchmark.sparkSession.sparkContext.broadcast
+    texts, n, sets = [], 0, 0
+    for item in benchmark.select(string(text_col).alias("text")).where("text is not null").distinct().toLocalIterator():
         texts.append(item.text)
         n += len(item.text) // 4
         if n >= PHRASES_PER_PASS:
-            found.append(Phrases(texts))
-            texts, n = [], 0
-    return [*found, Phrases(texts)]
+            yield share(Phrases(texts, shortest))
+            texts, n, sets = [], 0, sets + 1
+    if texts or not sets:
+        yield share(Phrases(texts, shortest))
 
 
 def _find(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +138,13 @@ def _find(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), part.column("key").take(pa.array(row)), pa.array(first, pa.int32()), pa.array(after, pa.int32())], names=["doc_id", "key", "first_word", "after_word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 1) -> DataFrame:
     """(doc_id, first_word, after_word): the removal spans of every document, in words from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("key", F.lit(0).cast("long"))
-    sets = passes(benchmark)
+    rows = spread(docs.select(ident(id_col).alias("doc_id"), string(text_col).alias("text")))
+    sets = list(passes(benchmark, shortest))
     schema = "doc_id long, key long, first_word int, after_word int"
     if len(sets) == 1:
-        return _mapped(rows, sets[0], schema).drop("key")
+        return _mapped(rows.withColumn("key", F.lit(0).cast("long")), sets[0], schema).drop("key")
     rows = rows.withColumn("key", F.monotonically_increasing_id())
     found = None
     for phrases in sets:
@@ -151,8 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return isle.groupBy("key", "doc_id", "isle").agg(F.min("first_word").alias("first_word"), F.max("after_word").alias("after_word")).drop("key", "isle")
 
 
-def _mapped(rows: DataFrame, phrases: Phrases, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+def _mapped(rows: DataFrame, shared: Broadcast, schema: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _find(shared.value, batches), schema)
 
 
@@ -196,13 +201,13 @@ def _clean(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([part.column(ROW), column], names=[ROW, "text"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", shortest: int = 1) -> DataFrame:
     """``docs`` with the spans cut out of the texts and ``size_col`` (if there) set to the new length; all rows stay."""
     none = F.array().cast("array<int>")
-    rows = packed(docs.withColumn(text_col, F.col(text_col).cast("string")), text=F.col(text_col).cast("string"), first=none, after=none)
+    rows = packed(docs.withColumn(text_col, string(text_col)), text=string(text_col), first=none, after=none)
     # the text travels once: the packed row carries it only as a null
     rows = rows.withColumn(ROW, F.col(ROW).withField(f"`{text_col}`", F.lit(None).cast("string")))
-    *earlier, last = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in passes(benchmark)]
+    *earlier, last = passes(benchmark, shortest)
     for shared in earlier:
         rows = rows.mapInArrow(lambda batches, shared=shared: _mark(shared.value, batches), rows.schema)
     done = rows.mapInArrow(lambda batches: _clean(last.value, batches), rows.select(ROW, "text").schema)

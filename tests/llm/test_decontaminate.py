@@ -21,7 +21,7 @@ def brute(texts, benchmark):
     phrases = set()
     for t in benchmark:
         w = words(t)
-        if len(w) >= 4:
+        if w:
             n = min(len(w), 8)
             phrases |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     out = []
@@ -52,6 +52,12 @@ def test_many_passes_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(docs(spark, texts), items(spark, bench)).collect())) == one
 
 
+def test_short_items_can_be_left_out(spark):
+    bench, texts = [ITEM, "too short", "alone"], [f"a too short b alone {ITEM} c"]
+    assert len(decontaminate.contaminated(docs(spark, texts), items(spark, bench)).collect()) == 2
+    assert len(decontaminate.contaminated(docs(spark, texts), items(spark, bench), shortest=4).collect()) == 1
+
+
 def test_cut_texts(spark):
     table = clashing(docs(spark, [f"before {ITEM} after", None, "", "clean text", f"before {ITEM} after"], [1, 2, 3, None, 1]))
     out = decontaminate.decontaminate(table, items(spark, [ITEM]))
@@ -66,7 +72,7 @@ def test_many_passes_cut_the_same(spark, monkeypatch):
     cut = lambda: sorted(str(tuple(r)) for r in decontaminate.decontaminate(docs(spark, texts).repartition(2), items(spark, bench)).collect())
     one = cut()
     monkeypatch.setattr(decontaminate, "PHRASES_PER_PASS", 1)
-    assert len(decontaminate.passes(items(spark, bench))) > 5
+    assert len(list(decontaminate.passes(items(spark, bench)))) > 3
     assert cut() == one
     want = {k: t for k, t in enumerate(texts) if t is not None}
     for k, a, b in sorted(brute(texts, bench), reverse=True):
