@@ -10,8 +10,9 @@ run on the normalised text and their spans are mapped back.
 Texts are first screened by one regular expression on the whole Arrow column, which holds a
 trigger for every detector and every rewriting; a text without any trigger has no finding.
 
-Cases: a null or empty text has no findings; a null id stays null in them; repeated rows are
-reported each; of overlapping detections the earlier kind of ``DETECTORS`` wins.
+Cases: a null or empty text has no findings; a null id stays null in them, and an id that is no whole number counts as null;
+repeated rows are reported each; a very long text is searched whole; of overlapping detections the earlier kind of
+``DETECTORS`` wins; other columns, whatever their names, are ignored; an empty table has no findings.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from engramite.llm import textops
+from engramite.llm.common import ident, spread, string
 
 _LOOKALIKES = dict(
     zip(
@@ -45,8 +46,8 @@ def _fold_table() -> dict[int, str]:
         plain = unicodedata.normalize("NFKC", chr(code))
         if len(plain) == 1 and plain.isascii():
             table[code] = plain
-    for start in (0x660, 0x6F0, 0x966, 0x9E6):
-        table |= {start + k: str(k) for k in range(10)}
+    # the decimal digits of all scripts
+    table |= {code: str(value) for code in range(0x80, 0x110000) if (value := unicodedata.decimal(chr(code), None)) is not None}
     return table
 
 
@@ -72,11 +73,11 @@ _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W\d_])(?:{_SPELLED}|(?<![\d])\d(?!\d))(?
 _SPELLED_ONE = re.compile(rf"(?i){_SPELLED}|\d")
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)")
-_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\d.\w])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\d]|[.-]\d)|(?<![\d.\w])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?![\d]|[.-]\d)")
+_CARD = re.compile(r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])")
+_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_PHONE = re.compile(r"(?<![0-9.\w])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9.\w])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9]|[.-][0-9])")
 
 
 def _luhn(found: str) -> bool:
@@ -99,9 +100,21 @@ def _ip(found: str) -> bool:
 
 DETECTORS = (("email", _EMAIL, None), ("iban", _IBAN, _iban), ("card", _CARD, _luhn), ("ip", _IP, _ip), ("ssn", _SSN, None), ("phone", _PHONE, None))
 
+
+def _ranges(codes: list[int]) -> str:
+    """An RE2 class's inside of these characters."""
+    codes, out = sorted(set(codes)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
 #: RE2: what a text must hold for any detector or rewriting to have a say.  Digits of other scripts and
 #: lookalikes are triggers of their own, since what they fold to isn't known to RE2.
-_FOLDED = "".join(f"\\x{{{ord(c):x}}}" if isinstance(c, str) else f"\\x{{{c:x}}}" for c in [*FOLD, *_INVISIBLE])
+_FOLDED = _ranges([*FOLD, *map(ord, _INVISIBLE)])
 SCREEN = (
     rf"@|[{_FOLDED}]|\b(?i:at)\b[ \t\)\]\}}>]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|[ \t]*[\(\[\{{<]?[ \t]*(?i:dot)\b)|{_OPEN}[ \t]*(?i:at|dot)[ \t]*{_CLOSE}"
     rf"|[0-9][ ().,\t-]{{0,3}}[0-9](?:[ ().,\t-]{{0,3}}[0-9]){{2,}}|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?i:{_SPELLED}[ \t,-]{{1,3}}(?:[0-9]|{_SPELLED})[ \t,-]{{1,3}}(?:[0-9]|{_SPELLED}))|(?i:[0-9][ \t,-]{{1,3}}{_SPELLED}[ \t,-]{{1,3}}(?:[0-9]|{_SPELLED}))"
@@ -183,13 +196,15 @@ def normalised(source: str) -> Mapped:
 def detect(source: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised value) by source characters, in order."""
     mapped = normalised(source)
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, in order
     found = []
     for kind, pattern, valid in DETECTORS:
         for m in pattern.finditer(mapped.text):
             a, b = m.span()
-            if (valid is None or valid(m.group())) and not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            at = bisect_left(taken, (a, b))
+            free = (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0])
+            if free and (valid is None or valid(m.group())):
+                taken.insert(at, (a, b))
                 found.append((kind, int(mapped.start[a]), int(mapped.end[b - 1]), m.group()))
     return sorted(found, key=lambda f: (f[1], f[2]))
 
@@ -204,5 +219,5 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value): every identifier, by source characters, with its normalised form."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = spread(docs.select(ident(id_col).alias("doc_id"), string(text_col).alias("text")).where("text IS NOT NULL"))
     return rows.mapInArrow(_find, "doc_id long, kind string, start int, end int, value string")

@@ -34,7 +34,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT DISTINCT regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark WHERE text IS NOT NULL),
-p AS (SELECT DISTINCT least(len(w), 8) AS n, array_to_string(list_slice(w, i, i + least(len(w), 8) - 1), ' ') AS g FROM b, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS t(i) WHERE len(w) >= 4),
+p AS (SELECT DISTINCT least(len(w), 8) AS n, array_to_string(list_slice(w, i, i + least(len(w), 8) - 1), ' ') AS g FROM b, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS t(i) WHERE len(w) >= 1),
 n AS (SELECT DISTINCT n FROM p),
 s AS (SELECT r, doc_id, i - 1 AS a, i - 1 + n AS z, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM d, n, unnest(generate_series(1, len(w) - n + 1)) AS t(i)),
 h AS (SELECT DISTINCT r, doc_id, a, z FROM s SEMI JOIN p USING (n, g)),
@@ -70,6 +70,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op8_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with their assistants' messages as tool calls, linked to results that come too early or never."""
+    return chat.formatted(chat.called(table(spark, sf_dir, "conversations")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every personal identifier in every document, by source characters."""
     return pii.findings(table(spark, sf_dir, "documents"))
@@ -85,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL, "op6_katz_scoring": katz.ORACLE, "op7_warc_chunks": warc.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op2_secret_scan": secrets.oracle(), "op3_quality_rules": quality.oracle(), "op4_decontaminate": OP4_SQL, "op6_katz_scoring": katz.ORACLE, "op7_warc_chunks": warc.ORACLE, "op8_chat_format": chat.ORACLE, "op8_chat_tool_calls": chat.CALLED_ORACLE}

@@ -7,8 +7,10 @@ verify or resume after any row.
 
 Cases: an empty payload has one row of no bytes; a null page or URL is an empty payload or a record
 without a target; ids needn't be unique, since a record is told apart by file and offset;
-blanks and control characters in a URL are percent-encoded; a header may have any length; bytes after
-the last record that are no whole header are an error; an empty table gives no files and no rows.
+blanks and control characters in a URL are percent-encoded; a header may have any length; a very long payload is many
+rows; repeated rows are records of their own; other columns, whatever their names, are ignored; an empty table gives no files
+and no rows.  Damage (no header where one is due or an unfinished one, a length that is missing, negative or no number, a
+payload that ends early, broken gzip data) gives one last row of the file with the offset of the record and ``error``.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramite.llm.common import shared_dir, written
+from engramite.llm.common import col, shared_dir, string, written
 
 CHUNK_BYTES = 16 << 10
 #: Bytes that a task holds before it hands a batch of rows on.
 BATCH_BYTES = 4 << 20
 
-SCHEMA = "file string, record_offset long, record_id string, warc_type string, target_uri string, content_length long, chunk_no int, payload binary, sha256 string, last boolean"
-_TYPES = pa.schema([("file", pa.string()), ("record_offset", pa.int64()), ("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("content_length", pa.int64()), ("chunk_no", pa.int32()), ("payload", pa.binary()), ("sha256", pa.string()), ("last", pa.bool_())])
+SCHEMA = "file string, record_offset long, record_id string, warc_type string, target_uri string, content_length long, chunk_no int, payload binary, sha256 string, last boolean, error string"
+_TYPES = pa.schema([("file", pa.string()), ("record_offset", pa.int64()), ("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("content_length", pa.int64()), ("chunk_no", pa.int32()), ("payload", pa.binary()), ("sha256", pa.string()), ("last", pa.bool_()), ("error", pa.string())])
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -95,8 +97,32 @@ class Stream:
         return out
 
 
+class Damage(ValueError):
+    """What is wrong with the record at ``offset``."""
+
+    def __init__(self, offset: int, what: str) -> None:
+        super().__init__(what)
+        self.offset = offset
+
+
+def _length(offset: int, field: str | None) -> int:
+    if field is None or not field.isascii() or not field.isdigit() or len(field) > 18:
+        raise Damage(offset, f"no content length: {field!r:.60}")
+    return int(field)
+
+
 def chunks(stream: Stream, chunk_bytes: int) -> Iterator[dict]:
-    """The rows of all records of one stream, without the file."""
+    """The rows of all records of one stream, without the file; the last has ``error`` if the stream is damaged."""
+    at = 0
+    try:
+        for row in _chunks(stream, chunk_bytes):
+            at = row["record_offset"]
+            yield row
+    except (Damage, zlib.error, OSError) as damage:
+        yield {"record_offset": getattr(damage, "offset", at), "error": str(damage)}
+
+
+def _chunks(stream: Stream, chunk_bytes: int) -> Iterator[dict]:
     while True:
         while stream.buffer[:2] == b"\r\n" or (len(stream.buffer) < 2 and stream._more()):
             if stream.buffer[:2] == b"\r\n":
@@ -105,18 +131,18 @@ def chunks(stream: Stream, chunk_bytes: int) -> Iterator[dict]:
         head = stream.until(b"\r\n\r\n")
         if head is None:
             if stream.buffer:
-                raise ValueError(f"the header at {offset} ends early")
+                raise Damage(offset, "the header ends early")
             return
         lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {offset}: {lines[0][:60]!r}")
-        left = length = int(fields.get("content-length", 0))
+            raise Damage(offset, f"no WARC record: {lines[0][:60]!r}")
+        left = length = _length(offset, fields.get("content-length"))
         digest, number = hashlib.sha256(), 0
         while True:
             payload = stream.read(min(left, chunk_bytes))
             if len(payload) < min(left, chunk_bytes):
-                raise ValueError(f"the record at {offset} ends early")
+                raise Damage(offset, "the payload ends early")
             left -= len(payload)
             digest.update(payload)
             yield {"record_offset": offset, "record_id": fields.get("warc-record-id", "").strip("<>") or None, "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "content_length": length, "chunk_no": number, "payload": payload, "sha256": digest.hexdigest(), "last": left == 0}
@@ -133,7 +159,7 @@ def _read(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Re
                 rows, held = [], 0
                 for row in chunks(Stream(source), chunk_bytes):
                     rows.append({"file": path.rsplit("/", 1)[-1], **row})
-                    held += len(row["payload"]) + len(row["target_uri"] or "") + 500
+                    held += len(row.get("payload") or b"") + len(row.get("target_uri") or "") + 500
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
                         rows, held = [], 0
@@ -152,11 +178,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     system, at = _opened(name)
     sink, records = None, 0
     for batch in batches:
-        for record_id, uri, payload in zip(*(batch.column(c).to_pylist() for c in ("id", "uri", "payload")), strict=True):
+        for record_id, uri, scalar in zip(batch.column("id").to_pylist(), batch.column("uri").to_pylist(), batch.column("payload"), strict=True):
             if sink is None:
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 sink = system.open_output_stream(at, compression=None)
-            payload = payload or b""
+            # the batch's own bytes; nothing is copied but what the packer takes
+            payload = scalar.as_buffer() if scalar.is_valid else b""
             target = "" if uri is None else "WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri) + "\r\n"
             head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{record_id}>\r\n{target}Content-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
             packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -173,7 +200,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes a gzipped WARC file for each non-empty partition; (path, records) of the files of successful attempts."""
-    rows = pages.select(F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("binary").alias("payload"))
+    rows = pages.select(F.concat(F.lit("urn:page:"), F.coalesce(string(id_col), F.lit("null"))).alias("id"), string(uri_col).alias("uri"), col(payload_col).cast("binary").alias("payload"))
     return written(rows.mapInArrow(lambda batches: _write(batches, folder), "path string, records long"))
 
 

@@ -43,6 +43,12 @@ def test_unedited_text_maps_to_itself():
     assert mapped.text == "plain ascii text" and mapped.start.tolist() == list(range(16)) and (mapped.end - mapped.start == 1).all()
 
 
+def test_digits_of_every_script_are_screened(spark):
+    texts = ["id ๑๒๓-๔๕-๖๗๘๙ end", "id ١٢٣-٤٥-٦٧٨٩ end", "id 𝟏𝟐𝟑-𝟒𝟓-𝟔𝟕𝟖𝟗 end", f"jane (at) {'a' * 45} (dot) {'b' * 45} (dot) com"]
+    got = {r.doc_id: (r.kind, r.value) for r in pii.findings(docs(spark, texts)).collect()}
+    assert got == {**{k: ("ssn", "123-45-6789") for k in range(3)}, 3: ("email", f"jane@{'a' * 45}.{'b' * 45}.com")}
+
+
 def test_cases(spark):
     table = clashing(docs(spark, [CASES[0][0], CASES[0][0], None, "", CASES[0][0], prose(1, 20_000) + " " + CASES[0][0]], [1, 1, 2, 3, None, 4]))
     got = sorted(str(r.doc_id) for r in pii.findings(table).collect())

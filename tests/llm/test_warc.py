@@ -40,10 +40,14 @@ def test_never_holds_a_whole_record():
 
 
 def test_short_and_broken_streams():
-    with pytest.raises(ValueError, match="ends early"):
-        list(warc.chunks(warc.Stream(io.BytesIO(record(b"abc")[:-5])), 10))
-    with pytest.raises(ValueError, match="no WARC record"):
-        list(warc.chunks(warc.Stream(io.BytesIO(b"HTTP/1.1 200\r\n\r\n")), 10))
+    good, read = record(b"abc"), lambda data: list(warc.chunks(warc.Stream(io.BytesIO(data)), 10))
+    for data, what in (
+        (good[:-5], "payload ends early"), (b"HTTP/1.1 200\r\n\r\n", "no WARC record"), (good.replace(b": 3", b": -3"), "no content length"),
+        (good.replace(b": 3", b": three"), "no content length"), (good.replace(b"Content-Length: 3\r\n", b""), "no content length"), (gzip.compress(good)[:-20], "ends early"), (gzip.compress(good)[:12] + b"broken" * 9, ""),
+    ):
+        rows = read(good + data if data[:2] != b"\x1f\x8b" else data)
+        assert what in rows[-1]["error"] and (rows[0].get("payload") == b"abc" or data[:2] == b"\x1f\x8b")
+        assert rows[-1]["record_offset"] in (0, len(good), len(good) - 4)
 
 
 def test_pages_round_trip(spark):
@@ -79,8 +83,17 @@ def test_long_url_keeps_the_pages_after_it(spark):
 
 
 def test_header_without_an_end():
-    with pytest.raises(ValueError, match="header at .* ends early"):
-        list(warc.chunks(warc.Stream(io.BytesIO(record(b"abc") + b"WARC/1.1\r\nWARC-Type: resource\r\n")), 10))
+    rows = list(warc.chunks(warc.Stream(io.BytesIO(record(b"abc") + b"WARC/1.1\r\nWARC-Type: resource\r\n")), 10))
+    assert rows[0]["payload"] == b"abc" and "header ends early" in rows[1]["error"]
+
+
+def test_damaged_files_are_rows(spark, tmp_path):
+    for name, data in {"good": record(b"abc"), "bad": record(b"abc") + record(b"x").replace(b": 1", b": -1")}.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("good", "bad")] + [(None,)], "path string")
+    rows = warc.read_warc(paths).collect()
+    assert sorted((r.file, r.payload and bytes(r.payload), r.error is None) for r in rows if r.payload) == [("bad", b"abc", True), ("good", b"abc", True)]
+    assert [(r.file, r.payload) for r in rows if r.error] == [("bad", None)]
 
 
 def test_query_returns_the_payload(spark, tmp_path):
