@@ -68,4 +68,5 @@ def event_confidence(kind: Column) -> Column:
 
 
 def three_decimals(x: Column) -> Column:
-    return F.format_string("%.3f", x)
+    """Halves go up even if float noise has them just below."""
+    return F.format_string("%.3f", F.round(x + 1e-10, 3))

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from engramite.functions.normalize import trimmed
 from engramite.schema import EMBEDDING_DIM
 
+#: Texts whose vectors are made together.
+ROWS_AT_ONCE = 256
 _SPLIT = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -47,15 +49,41 @@ def _features(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([_word("tok:" + t) % dim for t, _ in named]), np.array(weights)
 
 
+def hashed_vectors(texts: list[str | None], dim: int = EMBEDDING_DIM) -> np.ndarray:
+    """The unit vectors of texts, one a row: signed buckets of tokens and trigrams, weighed by 1 / (1 + position)."""
+    out = np.zeros((len(texts), dim))
+    for start in range(0, len(texts), ROWS_AT_ONCE):
+        part = texts[start : start + ROWS_AT_ONCE]
+        number: dict[str, int] = {}
+        found: list[int] = []
+        sizes = []
+        for text in part:
+            clean = (text or "").strip()
+            words = [t for t in _SPLIT.split(clean.lower()) if t] or [clean or "_empty_"]
+            found += [number.setdefault(t, len(number)) for t in words]
+            sizes.append(len(words))
+        features = [_features(t, dim) for t in number]
+        width = np.array([b.size for b, _ in features])
+        buckets, weights = (np.concatenate([f[k] for f in features]) for k in (0, 1))
+        begin, token, size = np.cumsum(width) - width, np.array(found), np.array(sizes)
+        row = np.repeat(np.arange(size.size), size)
+        scale = 1.0 / (np.arange(token.size) - (np.cumsum(size) - size)[row] + 1)
+        n = width[token]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[token], n)
+        whole = np.bincount(np.repeat(row, n) * dim + buckets[at], weights[at] * np.repeat(scale, n), size.size * dim).reshape(-1, dim)
+        norm = np.sqrt((whole * whole).sum(axis=1, keepdims=True))
+        out[start : start + len(part)] = whole / np.where(norm <= 1e-12, 1.0, norm)
+    return out
+
+
 def hashed_vector(text: str | None, dim: int = EMBEDDING_DIM) -> np.ndarray:
-    """The unit vector of a text: signed buckets of tokens and trigrams, weighed by 1 / (1 + position)."""
-    clean = (text or "").strip()
-    found = [t for t in _SPLIT.split(clean.lower()) if t] or [clean or "_empty_"]
-    parts = [_features(t, dim) for t in found]
-    scale = np.repeat(1.0 / np.arange(1, len(parts) + 1), [b.size for b, _ in parts])
-    out = np.bincount(np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts]) * scale, dim)
-    norm = float(np.sqrt(out @ out))
-    return out if norm <= 1e-12 else out / norm
+    return hashed_vectors([text], dim)[0]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows for work that is heavy on the CPU: an input of fewer partitions than cores is dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def embedded(df: DataFrame, text: str, into: str = "embedding", dim: int = EMBEDDING_DIM) -> DataFrame:
@@ -68,8 +96,10 @@ def embedded(df: DataFrame, text: str, into: str = "embedding", dim: int = EMBED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [hashed_vector(t, dim).astype(np.float32) if t and t.strip() else None for t in batch.column(text).to_pylist()]
-            column = pa.array(vectors, pa.list_(pa.float32()))
+            texts = batch.column(text).to_pylist()
+            blank = np.array([not (t and t.strip()) for t in texts], dtype=bool)
+            flat = hashed_vectors(texts, dim).astype(np.float32).ravel()
+            column = pa.FixedSizeListArray.from_arrays(pa.array(flat), dim, mask=pa.array(blank)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, into])
 
     return df.mapInArrow(run, schema)
@@ -79,10 +109,9 @@ def bucket_weights(df: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM)
     """(key, bucket, value): the buckets of each text's vector that aren't 0, as doubles; blank texts count as ``_empty_``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = hashed_vector(t, dim)
-                at = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * at.size, batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(v[at])], ["key", "bucket", "value"])
+            vectors = hashed_vectors(batch.column(1).to_pylist(), dim)
+            row, at = np.nonzero(vectors)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at, pa.int64()), pa.array(vectors[row, at])], ["key", "bucket", "value"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, bucket long, value double").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"key {kind}, bucket long, value double").withColumnRenamed("key", key)

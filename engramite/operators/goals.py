@@ -61,25 +61,26 @@ def remove_dependencies(deps: DataFrame, unwanted: DataFrame) -> DataFrame:
     return deps.join(unwanted, ["goal_id", "dependency_goal_id"], "left_anti")
 
 
-def dependency_closure(deps: DataFrame, rounds: int = 32) -> DataFrame:
+def dependency_closure(deps: DataFrame, hops: int = 4) -> DataFrame:
     """Extension: every (goal_id, dependency_goal_id) reachable through dependencies.
 
-    Paths double in each round, so the number of rounds is the logarithm of the longest path; the
-    count of pairs tells when nothing is new.  Each round is cut off by a reliable checkpoint.
+    Semi-naive: a round takes only the pairs that are new so far ``hops`` dependencies further, never pairs with pairs,
+    and ends when nothing new comes; each is cut off by a reliable checkpoint.
     """
     from engramite.sources.tables import checkpointed
 
-    pairs = checkpointed(deps.select("goal_id", "dependency_goal_id").distinct())
-    size = pairs.count()
-    for _ in range(rounds):
-        a, b = pairs.alias("a"), pairs.alias("b")
-        longer = a.join(b, F.col("a.dependency_goal_id") == F.col("b.goal_id")).select(F.col("a.goal_id"), F.col("b.dependency_goal_id"))
-        pairs = checkpointed(pairs.unionByName(longer).distinct())
-        grown = pairs.count()
-        if grown == size:
-            break
-        size = grown
-    return pairs
+    base = checkpointed(deps.select("goal_id", "dependency_goal_id").distinct())
+    step = base.select(F.col("goal_id").alias("dependency_goal_id"), F.col("dependency_goal_id").alias("next"))
+    pairs = new = base
+    while True:
+        reached, front = None, new
+        for _ in range(hops):
+            front = front.join(step, "dependency_goal_id").select("goal_id", F.col("next").alias("dependency_goal_id")).distinct()
+            reached = front if reached is None else reached.unionByName(front)
+        new = checkpointed(reached.distinct().join(pairs, ["goal_id", "dependency_goal_id"], "left_anti"))
+        if new.isEmpty():
+            return pairs
+        pairs = pairs.unionByName(new)
 
 
 def review_policy(goals: DataFrame, evaluated: DataFrame) -> DataFrame:

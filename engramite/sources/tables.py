@@ -1,9 +1,11 @@
 """Durable tables: an append-only log of versioned rows, compacted into snapshots by pointer swap.
 
 A table is a folder with ``log/`` (Parquet batches of rows, patches and tombstones, each with a
-sequence number) and ``snapshots/v=N`` (one row for a key).  ``CURRENT`` names the snapshot in use
+sequence number) and ``snapshots/v=N`` (one row for a key).  ``CURRENT-n`` names the snapshot in use
 and the last sequence number that it includes, so a reader merges the snapshot with the rest of the
-log, and a job that dies while compacting leaves only an unused folder behind.
+log, and a job that dies while compacting leaves only an unused folder behind.  A state is a new file with
+the next number, which appears by a rename onto a free name; no file is replaced, so a writer that dies between any
+two steps leaves the last state as it was.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from engramite.schema import TABLES
 
 SEQ, OP, SET = "__seq", "__op", "__set"
 UPSERT, PATCH, DELETE = "upsert", "patch", "delete"
+#: Batches of the log after which a table is compacted.
+COMPACT_AFTER = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,23 +84,33 @@ class Files:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def states(self, name: str) -> list[int]:
+        """The numbers of the states of a file, in order."""
+        found = self.fs.globStatus(self.path(f"{name}-*")) or []
+        return sorted(int(n) for s in found if (n := s.getPath().getName().rpartition("-")[2]).isdigit())
+
     def read(self, name: str) -> str | None:
-        if not self.fs.exists(self.path(name)):
+        """The last state; None if there is none."""
+        numbers = self.states(name)
+        if not numbers:
             return None
-        stream = self.fs.open(self.path(name))
+        stream = self.fs.open(self.path(f"{name}-{numbers[-1]:012d}"))
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
     def replace(self, name: str, text: str) -> None:
-        """Writes beside the old file and renames over it."""
+        """Adds a state; of the earlier ones the last stays for readers that have just listed it."""
+        numbers = self.states(name)
         temporary = self.path(f".{name}-{uuid.uuid4().hex}")
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self.path(name), False)
-        self.fs.rename(temporary, self.path(name))
+        if not self.fs.rename(temporary, self.path(f"{name}-{numbers[-1] + 1 if numbers else 1:012d}")):
+            raise RuntimeError(f"{self.root}/{name}: another writer was faster")
+        for n in numbers[:-1]:
+            self.fs.delete(self.path(f"{name}-{n:012d}"), False)
 
 
 class Table:
@@ -127,6 +141,8 @@ class Table:
         marks = [F.lit(seq).cast("long").alias(SEQ), F.lit(op).alias(OP), (F.array(*map(F.lit, fields)) if fields else F.lit(None)).cast("array<string>").alias(SET)]
         rows.select(*columns, *marks).write.mode("overwrite").parquet(f"{self.root}/log/batch={seq}")
         self.files.replace("CURRENT", json.dumps(state | {"seq": seq}))
+        if seq - state["included"] >= COMPACT_AFTER:
+            self.compact()
         return seq
 
     def read(self) -> DataFrame:
@@ -154,6 +170,11 @@ class Table:
         merged = every.groupBy(self.key).agg(*aggregates).where(F.col(f"__base.{OP}") == UPSERT)
         return merged.select(*[F.col(n) if n == self.key else F.col(f"{n}.v").alias(n) for n in self.schema.names])
 
+    def create(self) -> None:
+        """Makes an empty table where there is none."""
+        if self.files.read("CURRENT") is None:
+            self.files.replace("CURRENT", json.dumps(self.state))
+
     def compact(self) -> int:
         """Writes a snapshot of everything and makes it current; earlier ones stay for readers that still use them."""
         state = self.state
@@ -181,14 +202,25 @@ class Database:
         raise AttributeError(name)
 
     def migrate(self) -> list[str]:
-        """Records the migrations that aren't recorded yet and gives their ids; twice in a row does nothing."""
+        """Runs the migrations that aren't recorded yet, records each and gives their ids; twice in a row does nothing."""
         files = Files(self.spark, self.root)
         done = json.loads(files.read("MIGRATIONS") or "[]")
         pending = [m for m, _ in MIGRATIONS if m not in done]
-        if pending:
-            files.replace("MIGRATIONS", json.dumps(done + pending))
+        for name in pending:
+            self._run(name)
+            done.append(name)
+            files.replace("MIGRATIONS", json.dumps(done))
         return pending
 
+    def _run(self, name: str) -> None:
+        if name == "0001_entities":
+            for t in self.tables.values():
+                t.create()
+        elif name == "0002_goal_reviews":
+            # goals written before the column was there get it as a null by a new snapshot in the present schema
+            if self.tables["goals"].state["seq"]:
+                self.tables["goals"].compact()
+
     def counts(self) -> dict[str, int]:
         return {name: t.read().count() for name, t in self.tables.items()}
 
