@@ -11,9 +11,11 @@ import math
 import uuid
 import warnings
 from collections.abc import Callable
+from dataclasses import asdict
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,6 @@ def _us(at: datetime) -> int:
     return int(at.replace(tzinfo=UTC).timestamp() * 1_000_000)
 
 
-def _unit(value: object, default: float) -> float:
-    try:
-        return min(max(float(value), 0.0), 1.0)  # type: ignore[arg-type]
-    except (TypeError, ValueError):
-        return default
-
-
 def _strings(values: object) -> list[str]:
     found = [str(v).strip() for v in values] if isinstance(values, (list, tuple, set)) else []
     return list(dict.fromkeys(v for v in found if v))
@@ -74,7 +69,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, dim: int = schema.EMBEDDING_DIM, learning_rate: float = schema.LEARNING_RATE, consolidation: ConsolidationConfig = ConsolidationConfig(), embedder: Callable[[str], list[float]] | None = None) -> None:  # noqa: B008
-        self.embedder = embedder
+        self.embedder, self.failures, self.cycles, self.last_cycle = embedder, 0, 0, None
         self.spark, self.dim, self.rate, self.consolidation = spark, dim, learning_rate, consolidation
         self.db = Database(spark, root)
         self.db.migrate()
@@ -112,6 +107,7 @@ class Engine:
                 norm = math.sqrt(sum(x * x for x in made))
                 return made if norm <= TINY else [x / norm for x in made]
             except Exception as failed:
+                self.failures += 1
                 warnings.warn(f"the embedder failed, a hashed vector is used: {failed}", stacklevel=2)
         return hashed_vector(text, self.dim).tolist()
 
@@ -119,14 +115,14 @@ class Engine:
         at = now()
         vector = embedding if embedding is not None else self.embed(content) if (content or "").strip() else None
         return self._put("nodes", {
-            "id": (id or "").strip() or f"node_{uuid.uuid4().hex}", "content": content or "", "node_type": _pick(node_type, schema.NODE_TYPES, "semantic"), "confidence": _unit(confidence, 0.5),
+            "id": (id or "").strip() or f"node_{uuid.uuid4().hex}", "content": content or "", "node_type": _pick(node_type, schema.NODE_TYPES, "semantic"), "confidence": N.unit(confidence, 0.5),
             "embedding": vector, "metadata": _object(metadata), "source": source, "access_count": 0, "created_at": at, "updated_at": at, "last_accessed_at": at,
         })
 
     def get_node(self, id: str) -> dict:  # noqa: A002
         return self._get("nodes", id)
 
-    def list_nodes(self, node_type: str | None = None, min_confidence: float | None = None, limit: object = 10) -> DataFrame:
+    def list_nodes(self, node_type: str | None = None, min_confidence: object = None, limit: object = 10) -> DataFrame:
         out = relations.filter_nodes(self._nodes(), N.choice(node_type, schema.NODE_TYPES), min_confidence)
         return relations.latest(out, N.graph_limit(limit)).drop("embedding", "updated_us")
 
@@ -137,7 +133,7 @@ class Engine:
         if "node_type" in attrs:
             clean["node_type"] = _pick(attrs["node_type"], schema.NODE_TYPES, "semantic")
         if "confidence" in attrs:
-            clean["confidence"] = _unit(attrs["confidence"], 0.5)
+            clean["confidence"] = N.unit(attrs["confidence"], 0.5)
         if "metadata" in attrs:
             clean["metadata"] = _object(attrs["metadata"])
         if clean.get("content", "").strip() and "embedding" not in clean:
@@ -153,7 +149,7 @@ class Engine:
 
     def link_nodes(self, source_id: str, target_id: str, edge_type: str = "related", weight: float = 0.5, metadata: dict | None = None, id: str | None = None) -> dict:  # noqa: A002
         at = now()
-        return self._put("edges", {"id": (id or "").strip() or f"edge_{uuid.uuid4().hex}", "source_id": source_id, "target_id": target_id, "edge_type": _pick(edge_type, schema.EDGE_TYPES, "related"), "weight": _unit(weight, 0.5), "metadata": _object(metadata), "created_at": at, "last_activated_at": at})
+        return self._put("edges", {"id": (id or "").strip() or f"edge_{uuid.uuid4().hex}", "source_id": source_id, "target_id": target_id, "edge_type": _pick(edge_type, schema.EDGE_TYPES, "related"), "weight": N.unit(weight, 0.5), "metadata": _object(metadata), "created_at": at, "last_activated_at": at})
 
     def get_edges_for_node(self, id: str) -> DataFrame:  # noqa: A002
         return self.db.edges.read().where((F.col("source_id") == id) | (F.col("target_id") == id))
@@ -199,7 +195,7 @@ class Engine:
         """Records an outcome and moves its causes' confidences; the outcome stays even if no cause is known."""
         if strict and (N.choice(status, schema.OUTCOME_STATUSES) is None or isinstance(confidence, bool) or not isinstance(confidence, (int, float)) or not str(action_id or "").strip()):
             raise Invalid("action_id, a known status and a numeric confidence are required")
-        status, confidence, ids, at = _pick(status, schema.OUTCOME_STATUSES, "failure"), _unit(confidence, 0.5), _strings(causal_node_ids), now()
+        status, confidence, ids, at = _pick(status, schema.OUTCOME_STATUSES, "failure"), N.unit(confidence, 0.5), _strings(causal_node_ids), now()
         self._put("outcomes", {
             "id": f"outcome_{uuid.uuid4().hex}", "action_id": action_id, "status": status, "confidence": confidence, "causal_node_ids": ids, "evidence": _object(extra.get("evidence")),
             "retrieval_trace_id": extra.get("retrieval_trace_id"), "decision_trace_id": extra.get("decision_trace_id"), "action_linkage": _object(extra.get("action_linkage")), "grounding": _object(extra.get("grounding")), "observed_at": at, "processed_at": None,
@@ -231,7 +227,8 @@ class Engine:
             self.db.nodes.append(fated.where("fate = 'pruned'").select("id"), DELETE)
         finally:
             fated.unpersist()
-        return {k: tallies.get(k, 0) for k in ("decayed", "pruned", "unchanged")} | {"merge_similarity": self.consolidation.merge_similarity}
+        self.cycles, self.last_cycle = self.cycles + 1, {k: tallies.get(k, 0) for k in ("decayed", "pruned", "unchanged")}
+        return self.last_cycle | {"merge_similarity": self.consolidation.merge_similarity}
 
     # coverage and goals
 
@@ -253,15 +250,18 @@ class Engine:
                 number = lambda k, n=n: None if n.get(k) is None else float(n[k])
                 rows.append(("s", number("score"), number("confidence"), number("similarity"), int(n.get("edge_count") or 0), us))
         nodes = self.spark.createDataFrame(rows, "signal_id string, score double, confidence double, similarity double, edge_count long, updated_us long")
-        outcomes = self.spark.createDataFrame([("s", str(o.get("status", "failure")), _unit(o.get("confidence", 0.5), 0.5)) for o in signal.get("outcomes") or []], "signal_id string, status string, confidence double")
+        outcomes = self.spark.createDataFrame([("s", str(o.get("status", "failure")), N.unit(o.get("confidence", 0.5), 0.5)) for o in signal.get("outcomes") or []], "signal_id string, status string, confidence double")
         against = signal.get("contradictions", 0)
         against = len(against) if isinstance(against, list) else against if isinstance(against, int) else 0
         scalar = lambda k: None if signal.get(k) is None else float(signal[k])
         signals = self.spark.createDataFrame([("s", against, scalar("graph_support"), scalar("known_unknowns"), scalar("goal_criticality"))], "signal_id string, contradictions long, graph_support double, known_unknowns double, goal_criticality double")
         out = coverage.evaluate(signals, nodes, outcomes, _us(now()), config)
-        row = out.join(coverage.recommend(out).select("signal_id", "rationale"), "signal_id").first().asDict()
+        row = out.join(coverage.recommend(out, config).select("signal_id", "rationale"), "signal_id").first().asDict()
         row.pop("signal_id")
-        return row | {"thresholds": config.thresholds}
+        about = coverage.diagnostics(signals, nodes, outcomes, config).first().asDict()
+        about.pop("signal_id")
+        about |= {"component_weights": config.weights, "component_values": {c: row[c] for c in coverage.COMPONENTS}}
+        return row | {"thresholds": config.thresholds, "diagnostics": about}
 
     def create_goal(self, title: str, **attrs: Any) -> dict:
         if not (title or "").strip():
@@ -271,8 +271,8 @@ class Engine:
         done = status == "completed"
         return self._put("goals", {
             "id": (attrs.get("id") or "").strip() or f"goal_{uuid.uuid4().hex}", "title": title.strip(), "description": attrs.get("description"), "status": status, "timescale": _pick(attrs.get("timescale"), schema.TIMESCALES, "short_term"),
-            "source_type": _pick(attrs.get("source_type"), schema.SOURCE_TYPES, "user"), "priority": _pick(attrs.get("priority"), schema.PRIORITIES, "normal"), "confidence": _unit(attrs.get("confidence", 0.5), 0.0),
-            "progress": 1.0 if done else _unit(attrs.get("progress", 0.0), 0.0), "owner": attrs.get("owner"), "tags": _strings(attrs.get("tags")), "constraints": _object(attrs.get("constraints")), "success_criteria": _object(attrs.get("success_criteria")),
+            "source_type": _pick(attrs.get("source_type"), schema.SOURCE_TYPES, "user"), "priority": _pick(attrs.get("priority"), schema.PRIORITIES, "normal"), "confidence": N.unit(attrs.get("confidence", 0.5), 0.0),
+            "progress": 1.0 if done else N.unit(attrs.get("progress", 0.0), 0.0), "owner": attrs.get("owner"), "tags": _strings(attrs.get("tags")), "constraints": _object(attrs.get("constraints")), "success_criteria": _object(attrs.get("success_criteria")),
             "metadata": _object(attrs.get("metadata")), "linked_node_ids": _strings(attrs.get("linked_node_ids")), "parent_goal_id": attrs.get("parent_goal_id"), "created_at": at, "updated_at": at, "due_at": attrs.get("due_at"), "completed_at": at if done else None, "last_reviewed_at": None,
         })
 
@@ -294,7 +294,7 @@ class Engine:
             if k in kinds:
                 clean[k] = _pick(v, *kinds[k])
             elif k in ("confidence", "progress"):
-                clean[k] = _unit(v, 0.0)
+                clean[k] = N.unit(v, 0.0)
             elif k in ("tags", "linked_node_ids"):
                 clean[k] = _strings(v)
             elif k in ("constraints", "success_criteria", "metadata"):
@@ -321,7 +321,7 @@ class Engine:
 
     def set_goal_progress(self, id: str, progress: object) -> dict:  # noqa: A002
         self.get_goal(id)
-        at, p = now(), _unit(progress, 0.0)
+        at, p = now(), N.unit(progress, 0.0)
         return self._patch("goals", id, {"progress": p, "updated_at": at} | ({"status": "completed", "completed_at": at} if p >= 1 else {}))
 
     def link_goal_nodes(self, id: str, node_ids: list[str]) -> dict:  # noqa: A002
@@ -384,7 +384,22 @@ class Engine:
         return {"total": len(rows), "by_status": by_status, "goals": rows}
 
     def health(self) -> dict:
-        return {"status": "ok" if self.db.ping() == "pong" else "down", "counts": self.db.counts()}
+        """Whether Spark answers, how many records there are, and the state of each service: up if what it needs can be read."""
+        needs = {"graph": ("nodes", "edges"), "retriever": ("nodes", "edges"), "learner": ("nodes", "outcomes"), "goal_graph": ("goals",), "consolidator": ("nodes",)}
+        counts: dict[str, int] = {}
+        for name, held in self.db.tables.items():
+            try:
+                counts[name] = held.read().count()
+            except PySparkException:  # its services are down
+                continue
+        services = {s: "up" if all(n in counts for n in names) else "down" for s, names in needs.items()}
+        return {"status": "ok" if self.db.ping() == "pong" and "down" not in services.values() else "down", "counts": counts, "services": services}
+
+    def embedder_info(self) -> dict:
+        return {"backend": "model" if self.embedder else "hashing", "fallback": "hashing", "dimension": self.dim, "failures": self.failures}
+
+    def consolidator_info(self) -> dict:
+        return {**asdict(self.consolidation), "cycles": self.cycles, "last_result": self.last_cycle}
 
     def refresh(self) -> None:
         """Drops whatever Spark holds of the tables, so that the next read sees the files."""

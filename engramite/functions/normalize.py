@@ -81,6 +81,18 @@ def _prefix(value: object) -> int | None:
     return int(m[0]) if m else None
 
 
+def unit(value: object, default: float) -> float:
+    """A number, or the numeric prefix of a text, within 0 and 1; anything else is the default."""
+    if isinstance(value, str) and (m := re.match(_NUMBER, value.strip())):
+        value = m[0]
+    if isinstance(value, bool):
+        return default
+    try:
+        return min(max(float(value), 0.0), 1.0)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+
+
 def graph_limit(value: object, default: int = 10) -> int:
     """A positive whole number or its textual prefix; anything else is the default."""
     n = _prefix(value)

@@ -92,7 +92,25 @@ def evaluate(signals: DataFrame, signal_nodes: DataFrame, signal_outcomes: DataF
     )
 
 
-def recommend(evaluated: DataFrame) -> DataFrame:
-    """The decision, its confidence and the scores in words."""
-    words = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), three_decimals(F.col(n))) for n in ("coverage", "uncertainty", "risk")])
-    return evaluated.select("signal_id", "decision", "decision_confidence", F.concat(F.col("decision"), F.lit(": "), words).alias("rationale"))
+def recommend(evaluated: DataFrame, config: CoverageConfig = CoverageConfig()) -> DataFrame:  # noqa: B008
+    """The decision, its confidence and its rationale: three lines for the scores, the components and the thresholds."""
+    words = lambda names: F.concat_ws(" ", *[F.concat(F.lit(f"{shown}="), three_decimals(F.col(n))) for n, shown in names.items()])
+    scores = F.concat(words({n: n for n in ("coverage", "uncertainty", "risk")}), F.lit(" decision="), F.col("decision"))
+    parts = words(dict(zip(COMPONENTS, ("semantic", "consistency", "freshness", "graph_support", "outcomes"), strict=True)))
+    limit = lambda kind: f"{kind}(cov>={config.thresholds[f'{kind}_coverage']:.3f}, unc<={config.thresholds[f'{kind}_max_uncertainty']:.3f}, risk<={config.thresholds[f'{kind}_max_risk']:.3f})"
+    return evaluated.select("signal_id", "decision", "decision_confidence", F.array(scores, parts, F.lit(f"thresholds: {limit('act')} {limit('learn')}")).alias("rationale"))
+
+
+def diagnostics(signals: DataFrame, signal_nodes: DataFrame, signal_outcomes: DataFrame, config: CoverageConfig = CoverageConfig()) -> DataFrame:  # noqa: B008
+    """(signal_id, the counts that an evaluation rests on, top_node_scores): best scores first, as many as count."""
+    scored = signal_nodes.select("signal_id", node_score().alias("s"))
+    place = F.row_number().over(Window.partitionBy("signal_id").orderBy(F.desc("s")))
+    best = F.sort_array(F.collect_list(F.when(F.col("place") <= config.top_k, F.col("s"))), asc=False)
+    by_nodes = scored.withColumn("place", place).groupBy("signal_id").agg(F.count(F.lit(1)).alias("node_count"), best.alias("top_node_scores"))
+    by_outcomes = signal_outcomes.groupBy("signal_id").agg(F.count(F.lit(1)).alias("outcome_count"))
+    out = signals.join(by_nodes, "signal_id", "left").join(by_outcomes, "signal_id", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    return out.select(
+        "signal_id", zero("node_count").alias("node_count"), zero("outcome_count").alias("outcome_count"), F.greatest(zero("contradictions"), F.lit(0)).alias("contradiction_count"),
+        clamp(F.coalesce("known_unknowns", F.lit(0.0))).alias("known_unknowns"), clamp(F.coalesce("goal_criticality", F.lit(0.5))).alias("goal_criticality"), F.coalesce("top_node_scores", F.array().cast("array<double>")).alias("top_node_scores"),
+    )

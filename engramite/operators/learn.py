@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramite.functions.normalize import clamp, enum, probability
+from engramite.functions.normalize import clamp, enum, probability, string_list
 from engramite.functions.scoring import ema, learning_target
 from engramite.schema import LEARNING_RATE, OUTCOME_STATUSES
 
@@ -16,8 +16,7 @@ RANGES = 16
 
 def causes(outcomes: DataFrame) -> DataFrame:
     """One row for an outcome and distinct cause, from a list column ``causal_node_ids``."""
-    ids = F.array_distinct(F.filter(F.transform("causal_node_ids", F.trim), lambda x: x != ""))
-    return outcomes.withColumn("causal_node_id", F.explode(ids)).drop("causal_node_ids")
+    return outcomes.withColumn("causal_node_id", F.explode(string_list(F.col("causal_node_ids")))).drop("causal_node_ids")
 
 
 def _target() -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramite.functions.normalize import clamp
+from engramite.functions.normalize import clamp, unit
 
 
-def filter_nodes(nodes: DataFrame, node_type: str | None = None, min_confidence: float | None = None) -> DataFrame:
-    """Nodes of a type with at least a confidence; None turns a condition off."""
+def filter_nodes(nodes: DataFrame, node_type: str | None = None, min_confidence: object = None) -> DataFrame:
+    """Nodes of a type with at least a confidence; None turns a condition off, and what is no number counts as 0."""
     if node_type is not None:
         nodes = nodes.where(F.col("node_type") == node_type)
-    return nodes if min_confidence is None else nodes.where(F.col("confidence") >= float(min_confidence))
+    return nodes if min_confidence is None else nodes.where(F.col("confidence") >= unit(min_confidence, 0.0))
 
 
 def latest(df: DataFrame, limit: int | None = None, by: str = "updated_us", key: str = "id") -> DataFrame:

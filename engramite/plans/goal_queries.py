@@ -151,11 +151,6 @@ def coverage_decision(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf).select("signal_id", "decision", "decision_confidence", "coverage", "uncertainty", "risk")
 
 
-@query(oracle(f"WITH {_EVALUATED} SELECT signal_id, decision, decision_confidence FROM evaluated", *_SIGNALS))
-def coverage_recommend(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.recommend(_evaluated(spark, sf)).select("signal_id", "decision", "decision_confidence")
-
-
 @query(oracle(f"""WITH {_EVALUATED}, r AS (SELECT g.id AS goal_id, decision, decision_confidence, status AS from_status, CASE decision WHEN 'act' THEN 'active' WHEN 'learn' THEN 'proposed' ELSE 'blocked' END AS to_status FROM goals g JOIN evaluated e ON e.signal_id = replace(g.id, 'goal_', 'sig_'))
 SELECT *, from_status <> to_status AND (from_status, to_status) IN ({_PAIRS}) AS applied, CASE WHEN from_status = to_status THEN 'already_in_target_status' WHEN (from_status, to_status) NOT IN ({_PAIRS}) THEN 'invalid_transition' END AS reason FROM r""", "goals", *_SIGNALS))
 def goal_review_policy(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,22 +91,24 @@ def consolidate_tallies(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate.tallies(consolidate.fates(view(spark, sf, "nodes")))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, toks[i] AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS toks FROM documents), unnest(generate_series(1, len(toks))) AS u(i)")
+#: A document's tokens; a text without letters and digits is one token, an empty or null one ``_empty_``.
+_TOKS = "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') ELSE [coalesce(nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ''), '_empty_')] END AS toks FROM documents"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, toks[i] AS token FROM ({_TOKS}), unnest(generate_series(1, len(toks))) AS u(i)")
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.size(text.tokens(F.col("text"))) > 0)
-    return docs.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents)
+@query(f"""WITH w AS (SELECT DISTINCT unnest(toks) AS token FROM ({_TOKS}))
 SELECT token, CAST(i - 1 AS INTEGER) AS position, CASE WHEN length(token) < 3 THEN token ELSE substring(token, i, 3) END AS trigram FROM w, unnest(generate_series(1, greatest(length(token) - 2, 1))) AS u(i)""")
 def trigrams(spark: SparkSession, sf: str) -> DataFrame:
     """The trigrams of every distinct token."""
-    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    words = docs.select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
     return words.select("token", F.posexplode(text.trigrams(F.col("token"))).alias("position", "trigram"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS toks FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')),
+@query(f"""WITH t AS ({_TOKS}),
 w AS (SELECT doc_id, toks[i] AS tok, i FROM t, unnest(generate_series(1, len(toks))) AS u(i)),
 f AS (SELECT doc_id, tok AS feature, i, CAST(1 AS DOUBLE) AS scale FROM w UNION ALL
   SELECT doc_id, 'tri:' || CASE WHEN length(tok) < 3 THEN tok ELSE substring(tok, j, 3) END, i, 0.5 FROM w, unnest(generate_series(1, greatest(length(tok) - 2, 1))) AS v(j)),
@@ -116,8 +118,7 @@ n AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(value / norm, 6) + 0.0 AS value FROM b JOIN n USING (doc_id) WHERE round(value / norm, 6) <> 0""")
 def hashing_embed(spark: SparkSession, sf: str) -> DataFrame:
     """The buckets of every document's vector, without those that round to 0."""
-    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return text.bucket_weights(docs, "doc_id", "text").withColumn("value", F.round("value", 6) + 0.0).where("value <> 0")
+    return text.bucket_weights(table(spark, sf, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6) + 0.0).where("value <> 0")
 
 
 @query(oracle("SELECT causal_node_id AS id, arg_max(status, seq) AS status, round(arg_max(confidence, seq), 6) AS confidence, max(seq) AS seq FROM outcomes GROUP BY causal_node_id", "outcomes"))
@@ -198,19 +199,6 @@ def file_preview_state_full(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("url").alias("path"), shown.alias("p")).select("path", F.col("p.state").alias("state"), F.col("p.text").alias("preview"))
 
 
-@query(None)
-def gitignore_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The URLs as paths, and whether a few ignore rules drop them; Python's own matcher, so there is no SQL."""
-    rules = tuple(r for line in ("*.log", "/page/*1", "tmp/", "!*11") if (r := filesystem.parse_rule(line, "/")))
-
-    @F.pandas_udf("boolean")
-    def drops(paths):  # noqa: ANN001, ANN202
-        return paths.map(lambda p: filesystem.ignored(p, False, rules))
-
-    path = F.concat(F.lit("/"), F.regexp_replace("url", "^[a-z]+://", ""))
-    return table(spark, sf, "pages").select(path.alias("path"), drops(path).alias("ignored"))
-
-
 @query(oracle(f"""WITH {_UPDATES}, {_fates(1)},
 t AS (SELECT action_id, count(*) AS processed, sum(CASE WHEN result = 'updated' THEN 1 ELSE 0 END) AS updated, sum(CASE WHEN result <> 'updated' THEN 1 ELSE 0 END) AS skipped FROM updates GROUP BY action_id)
 SELECT 'outcome_processed' AS event, action_id AS subject, m.measure, m.value::DOUBLE AS value FROM t, LATERAL (VALUES ('processed', processed), ('updated', updated), ('skipped', skipped)) m(measure, value)

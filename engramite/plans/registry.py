@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramite.plans import goal_queries, graph_queries, memory_queries
+from engramite.plans import goal_queries, graph_queries, memory_queries, record_queries
 
-_MODULES = (graph_queries, memory_queries, goal_queries)
+_MODULES = (graph_queries, memory_queries, goal_queries, record_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import re
 from collections.abc import Iterable
@@ -36,6 +37,16 @@ class Rule:
         return any(p.fullmatch(rel) for p in self.whole_path)
 
 
+    @property
+    def regex(self) -> str | None:
+        """What a file's path from ``base`` on must contain, in the words that Java's engine shares; None matches no file."""
+        if self.folders_only:
+            return None
+        if self.segment:
+            return rf"(?s)(?:^|/)(?:{self.segment.pattern.replace('.*', '[^/]*')})(?:/|$)"
+        return "(?s)^(?:" + "|".join(p.pattern for p in self.whole_path) + ")$"
+
+
 def _glob(pattern: str, star: str, any_one: str) -> re.Pattern:
     kinds = {"**": ".*", "*": star, "?": any_one}
     return re.compile("".join(kinds.get(x) or re.escape(x) for x in re.findall(r"\*\*|\*|\?|[^*?]+", pattern)), re.DOTALL)
@@ -68,6 +79,22 @@ def ignored(path: str, is_folder: bool, rules: Iterable[Rule]) -> bool:
     return out
 
 
+def ignored_files(path: Column, rules: Iterable[Rule]) -> Column:
+    """The same for a column of files' paths, inside the JVM."""
+    out = F.lit(False)
+    for rule in rules:
+        base = rule.base.rstrip("/") + "/"
+        if rule.regex:
+            hit = path.startswith(base) & F.substring(path, len(base) + 1, 1 << 30).rlike(rule.regex)
+            out = F.when(hit, F.lit(not rule.negated)).otherwise(out)
+    return out
+
+
+def has_extension(path: Column, extensions: Iterable[str]) -> Column:
+    """Whether a path ends in one of the extensions, told apart from case, blanks and a leading dot."""
+    return extension(path).isin(*[f".{e.strip().lower().lstrip('.')}" for e in extensions if e.strip()])
+
+
 def list_files(root: str, extensions: Iterable[str] | None = None, include_hidden: bool = False, follow_symlinks: bool = False, respect_gitignore: bool = True) -> list[str]:
     """Sorted regular files under ``root``.
 
@@ -110,6 +137,9 @@ def snapshot(spark: SparkSession, root: str, **options) -> DataFrame:
     """(path, relative_path, size, mtime_us, sig, content) of every listed file; contents are read by the executors."""
     root = os.path.abspath(os.path.expanduser(root))
     paths = list_files(root, **options)
+    if not paths:
+        return spark.createDataFrame([], "path string, relative_path string, size long, mtime_us long, sig string, content binary")
+    paths = [p for p in paths if not _unreadable(p)]
     if not paths:
         return spark.createDataFrame([], "path string, relative_path string, size long, mtime_us long, sig string, content binary")
     raw = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
@@ -126,11 +156,11 @@ def diff(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("size", "sig"))
     return both.select("path", kind.alias("type")).where(F.col("type").isNotNull())
 
 
-def preview(content: Column, size: Column, max_bytes: int = MAX_FILE_BYTES, read_bytes: int = PREVIEW_BYTES) -> Column:
-    """struct(state, text): too_large, binary (also when the cut splits a character) or ok with the trimmed beginning."""
+def preview(content: Column, size: Column, max_bytes: int = MAX_FILE_BYTES, read_bytes: int = PREVIEW_BYTES, reason: Column | None = None) -> Column:
+    """struct(state, text): the name of the error that reading gave (``reason``, or unreadable), too_large, binary (also when the cut splits a character) or ok with the trimmed beginning."""
     start = F.substring(content, 1, read_bytes)
     ok = F.is_valid_utf8(start.cast("string"))
-    state = F.when(content.isNull(), "unreadable").when(size > max_bytes, "too_large").when(ok, "ok").otherwise("binary")
+    state = F.when(content.isNull(), F.lit("unreadable") if reason is None else F.coalesce(reason, F.lit("unreadable"))).when(size > max_bytes, "too_large").when(ok, "ok").otherwise("binary")
     return F.struct(state.alias("state"), F.when(state == "ok", trimmed(start.cast("string"))).otherwise("").alias("text"))
 
 
@@ -157,5 +187,20 @@ def scan_directory(spark: SparkSession, root: str, **options) -> tuple[DataFrame
     """Nodes for all files under ``root`` as additions, and the summary of the scan."""
     events = snapshot(spark, root, **options).withColumn("type", F.lit("added"))
     nodes = event_nodes(events)
-    n = events.count()
-    return nodes, {"discovered": n, "ingested": n, "failed": 0, "errors": 0}
+    found, gone = list_files(root, **options), {r.path for r in events.select("path").collect()}
+    errors = [{"path": p, "reason": why} for p in found if (why := _unreadable(p)) or p not in gone]
+    return nodes, {"files_discovered": len(found), "files_ingested": len(found) - len(errors), "files_failed": len(errors), "errors": errors}
+
+
+def _unreadable(path: str) -> str | None:
+    """The name of the error that opening a file gives."""
+    try:
+        with open(path, "rb"):
+            return None
+    except OSError as error:
+        return errno.errorcode.get(error.errno or 0, "unreadable").lower()
+
+
+def summary(files: DataFrame) -> DataFrame:
+    """The tallies of a scan over (path, reason), a reason being why a file couldn't be ingested."""
+    return files.agg(F.count(F.lit(1)).alias("files_discovered"), F.count(F.when(F.col("reason").isNull(), 1)).alias("files_ingested"), F.count("reason").alias("files_failed"))

@@ -41,8 +41,9 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def vector(blob: str = "embedding") -> F.Column:
-    """A base64 text of little-endian 32-bit floats as an array; an incomplete last number is dropped."""
-    raw = F.unbase64(F.col(blob))
+    """A base64 text of little-endian 32-bit floats as an array; an incomplete last number is dropped, and a text that is
+    no base64 counts as the bytes themselves."""
+    raw = F.coalesce(F.try_to_binary(F.col(blob), F.lit("base64")), F.col(blob).cast("binary"))
     n = F.floor(F.octet_length(raw) / 4)
 
     @F.pandas_udf("array<float>")
@@ -54,6 +55,18 @@ def vector(blob: str = "embedding") -> F.Column:
     return F.when(n > 0, decode(raw))
 
 
+def encoded(vector: str = "embedding") -> F.Column:
+    """A vector as base64 of little-endian 32-bit floats; null stays null."""
+
+    @F.pandas_udf("binary")
+    def encode(column):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        return column.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return F.base64(encode(F.col(vector).cast("array<float>")))
+
+
 def write(df: DataFrame, path: str, table: str) -> int:
     """Rows of scalar columns into a table, replacing rows of the same first column; one partition after another."""
     names = df.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from engramite.schema import ConsolidationConfig
 from engramite.sources.filesystem import diff, event_nodes, snapshot
 
 POLL_MS = 1000
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -31,12 +33,14 @@ class Watch:
     """Snapshots a directory again and again and hands the changes to ``ingest``.
 
     ``ingest`` gets a DataFrame of events; if it raises, the cycle counts as failed and the earlier
-    snapshot stays, so the same changes come again.  ``on_cycle`` gets the statistics; what it raises
-    is dropped.  With ``ingest_on_start`` the first snapshot's files come as additions, outside the counts.
+    snapshot stays, so the same changes come again; with ``on_error`` "log" the error is logged, with "ignore" it isn't.
+    ``on_cycle`` gets the statistics; what it raises is logged.  With ``ingest_on_start`` the first snapshot's files come as additions, outside the counts.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ingest: Callable[[DataFrame], None], poll_ms: int = POLL_MS, ingest_on_start: bool = False, on_cycle: Callable[[dict], None] | None = None, **options) -> None:
-        self.spark, self.root, self.ingest, self.poll_ms, self.on_cycle, self.options = spark, root, ingest, poll_ms, on_cycle, options
+    def __init__(self, spark: SparkSession, root: str, ingest: Callable[[DataFrame], None], poll_ms: int = POLL_MS, ingest_on_start: bool = False, on_cycle: Callable[[dict], None] | None = None, on_error: str = "log", **options) -> None:
+        self.spark, self.root, self.ingest, self.on_cycle, self.options = spark, root, ingest, on_cycle, options
+        self.poll_ms = poll_ms if isinstance(poll_ms, int) and poll_ms > 0 else POLL_MS
+        self.quiet = on_error == "ignore"
         self.stats, self._stop, self._thread = WatchStats(), threading.Event(), None
         self.held = self._facts(snapshot(spark, root, **options))
         if ingest_on_start:
@@ -64,11 +68,13 @@ class Watch:
                 setattr(self.stats, kind, getattr(self.stats, kind) + n)
         except Exception:
             self.stats.failed += 1
+            if not self.quiet:
+                LOG.exception("a cycle of the watch over %s failed", self.root)
         if self.on_cycle:
             try:
                 self.on_cycle(asdict(self.stats))
-            except Exception:  # noqa: S110 - a listener can't stop the watch
-                pass
+            except Exception:  # a listener can't stop the watch
+                LOG.exception("the listener of the watch over %s failed", self.root)
         return asdict(self.stats)
 
     def start(self) -> Watch:

@@ -100,7 +100,7 @@ def test_scan_makes_nodes(spark, tree):
     put("bin.md", b"\xff\xfe")
     put("with space+%.md", "  body  ")
     nodes, summary = filesystem.scan_directory(spark, str(root), extensions=["md"])
-    assert summary["discovered"] == 5
+    assert summary == {"files_discovered": 5, "files_ingested": 5, "files_failed": 0, "errors": []}
     shot = filesystem.snapshot(spark, str(root), extensions=["md"]).withColumn("type", F.lit("added"))
     rows = {r.content.split("\n")[0]: r for r in filesystem.event_nodes(shot, max_bytes=400).collect()}
     assert rows["[filesystem added] big.md"].read_state == "too_large"
