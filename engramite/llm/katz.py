@@ -59,6 +59,8 @@ BLOCK_TOKENS = 1 << 19
 BUCKET_KEYS = 1 << 20
 #: Stretches of the key space that are exchanged one after the other: of trigrams, of contexts.
 SPANS, CONTEXT_SPANS = 2, 3
+#: Portions of the blocks that are joined with their totals one after the other.
+PORTIONS = 3
 
 _BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
 _PRICED = f"{_BLOCK}, totals array<binary>, own array<binary>"
@@ -464,7 +466,9 @@ def _cogrouped(left: DataFrame, by: str, right: DataFrame, to: str, function: Ca
 def _blocked(docs: DataFrame, id_col: str, text_col: str, folder: str, block_tokens: int) -> tuple[DataFrame, int, int]:
     """The blocks, and how many blocks and tokens there are."""
     rows = spread(docs.select(ident(id_col).alias("doc_id"), string(text_col).alias("text")))
-    blocks = written(rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK), folder)
+    made = rows.mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK).withColumn("portion", F.pmod(F.xxhash64("block"), F.lit(PORTIONS)).cast("int"))
+    stored(made.write.mode("overwrite").partitionBy("portion"), docs.sparkSession, folder)
+    blocks = docs.sparkSession.read.schema(made.schema).parquet(folder)
     n, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum(F.col("grams")[0]), F.lit(0))).first()
     return blocks, n, tokens
 
@@ -495,8 +499,13 @@ def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir:
         own = written(own, f"{base}/told-{name}")
         told = own if told is None else told.unionByName(own)
         removed(blocks.sparkSession, f"{base}/up-{name}", f"{base}/totals-{name}")
-    priced = written(_cogrouped(blocks, "block", told, "dest", _price, _PRICED), f"{base}/priced")
-    spark = blocks.sparkSession
+    spark, priced = blocks.sparkSession, None
+    for k in range(PORTIONS):
+        # each portion takes the place of its blocks before the next one is made
+        mine = blocks.where(F.col("portion") == k).drop("portion")
+        part = written(_cogrouped(mine, "block", told.where(F.pmod(F.xxhash64("dest"), F.lit(PORTIONS)) == k), "dest", _price, _PRICED), f"{base}/priced-{k}")
+        priced = part if priced is None else priced.unionByName(part)
+        removed(spark, f"{base}/blocks/portion={k}")
     removed(spark, f"{base}/blocks", *[f"{base}/told-{k}" for k in range(SPANS + 1)])
     model = Discounts(counts, tokens)
     for k in range(CONTEXT_SPANS):
@@ -521,7 +530,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     blocks, n_blocks, tokens = _blocked(docs, id_col, text_col, f"{base}/blocks", block_tokens)
     priced, model = _train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys)
     done = written(priced.mapInArrow(lambda batches: _evaluate_own(batches, model), _SCORES), f"{base}/scores")
-    removed(spark, f"{base}/priced")
+    removed(spark, *[f"{base}/priced-{k}" for k in range(PORTIONS)])
     return _scores(done)
 
 
