@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
-A bounded sample tells what each rule costs on these texts and which of them it rejects: one job counts the sampled
-rows by the set of rules that reject them and adds up each rule's work, an expression over the text in units of about
+A bounded sample tells what each rule costs on these texts and which of them it rejects: one job tells of each
+sampled row which rules reject it and each rule's work on it, an expression over the text in units of about
 one character looked at.  Rules are then ordered greedily by (rows still left that it rejects) / (its work), the same
 order for the same sample whatever else the machine does.  The cascade is one CASE expression, so a rule runs only on
 rows that all earlier rules passed.  The order changes which rule is named for a row that breaks several, never whether
@@ -69,15 +69,15 @@ def rejected(rule: Rule, text: Column) -> Column:
 
 def ordered(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, as the sample tells."""
-    sample = docs.select(string(text_col).alias("t")).limit(rows)
+    text = docs.select(string(text_col).alias("t"))
     flags = F.array(*[rejected(r, F.col("t")) for r in rules]).alias("flags")
-    work = [F.sum(F.expr(f"CAST(coalesce({r.work}, 1) AS DOUBLE)")).alias(f"w{k}") for k, r in enumerate(rules)]
-    # at most a row for each sampled one
-    told = sample.withColumn("flags", flags).groupBy("flags").agg(F.count("*").alias("n"), *work).collect()
-    cost = [sum(r[f"w{k}"] for r in told) + 1.0 for k in range(len(rules))]
+    work = F.array(*[F.expr(f"CAST(coalesce({r.work}, 1) AS DOUBLE)") for r in rules]).alias("work")
+    # the limit comes last, so that only as many partitions are read as it takes; no text leaves the executors
+    told = text.select(flags, work).limit(rows).collect()
+    cost = [sum(r.work[k] for r in told) + 1.0 for k in range(len(rules))]
     left, todo, order = list(told), set(range(len(rules))), []
     while todo:
-        gain = {k: sum(r.n for r in left if r.flags[k]) / cost[k] for k in todo}
+        gain = {k: sum(r.flags[k] for r in left) / cost[k] for k in todo}
         best = max(todo, key=lambda k: (gain[k], -cost[k], -k)) if told else min(todo)
         order.append(rules[best])
         left = [r for r in left if not r.flags[best]]
