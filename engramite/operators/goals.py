@@ -61,23 +61,30 @@ def remove_dependencies(deps: DataFrame, unwanted: DataFrame) -> DataFrame:
     return deps.join(unwanted, ["goal_id", "dependency_goal_id"], "left_anti")
 
 
-def dependency_closure(deps: DataFrame, hops: int = 4) -> DataFrame:
+def dependency_closure(deps: DataFrame, hops: int = 2) -> DataFrame:
     """Extension: every (goal_id, dependency_goal_id) reachable through dependencies.
 
     Semi-naive: a round takes only the pairs that are new so far ``hops`` dependencies further, never pairs with pairs,
-    and ends when nothing new comes; each is cut off by a reliable checkpoint.
+    and ends when nothing new comes.  Each round is a table in the shared folder, whose size tells Catalyst how to join.
     """
-    from engramite.sources.tables import checkpointed
+    from engramite.sources.tables import shared_dir
 
-    base = checkpointed(deps.select("goal_id", "dependency_goal_id").distinct())
+    spark = deps.sparkSession
+    folder = shared_dir(spark)
+
+    def kept(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{folder}/round-{n}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/round-{n}")
+
+    base = kept(deps.select("goal_id", "dependency_goal_id").distinct(), 0)
     step = base.select(F.col("goal_id").alias("dependency_goal_id"), F.col("dependency_goal_id").alias("next"))
-    pairs = new = base
+    pairs, new, n = base, base, 0
     while True:
-        reached, front = None, new
+        reached, front, n = None, new, n + 1
         for _ in range(hops):
-            front = front.join(step, "dependency_goal_id").select("goal_id", F.col("next").alias("dependency_goal_id")).distinct()
+            front = front.join(step, "dependency_goal_id").select("goal_id", F.col("next").alias("dependency_goal_id"))
             reached = front if reached is None else reached.unionByName(front)
-        new = checkpointed(reached.distinct().join(pairs, ["goal_id", "dependency_goal_id"], "left_anti"))
+        new = kept(reached.distinct().join(pairs, ["goal_id", "dependency_goal_id"], "left_anti"), n)
         if new.isEmpty():
             return pairs
         pairs = pairs.unionByName(new)
