@@ -12,32 +12,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from engramite.llm import decontaminate, minhash, packing, quality, secrets
-from engramite.llm.common import table, written
+from engramite.llm.common import in_small_batches, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.kept(docs)
+    return quality.kept(in_small_batches(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(in_small_batches(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts; ``n_chars`` follows."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(in_small_batches(docs), table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the names of their rules; ``n_chars`` follows."""
-    return secrets.redact(docs)
+    return secrets.redact(in_small_batches(docs))
 
 
 def packing_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 tokens over all that is left."""
-    return packing.pack(docs)
+    return packing.pack(in_small_batches(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

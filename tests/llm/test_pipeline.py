@@ -1,5 +1,10 @@
+import tracemalloc
+
+import pyarrow as pa
+
 import corpus_pipeline
-from engramite.llm.common import written
+from engramite.llm import textops
+from engramite.llm.common import TEXT_ROWS, written
 from tests.llm import test_decontaminate, test_minhash, test_packing
 from tests.llm.frames import clashing, docs, prose
 from tests.llm.test_secrets import KEY
@@ -57,3 +62,26 @@ def test_extra_columns_and_nulls_pass(spark, tmp_path):
 
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, docs(spark, []))).count() == 0
+
+
+def test_stages_send_few_rows_at_a_time_and_leave_the_session_as_it_is(spark, tmp_path):
+    table, before = docs(spark, [prose(k, 30) for k in range(3)]), dict(spark.conf.getAll)
+    bench = folder(spark, tmp_path, table)
+    for _, stage in corpus_pipeline.STAGES:
+        own = stage(spark, table, bench).sparkSession.conf
+        assert int(own.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXT_ROWS
+        assert int(own.get("spark.sql.parquet.columnarReaderBatchSize")) <= TEXT_ROWS
+        assert own.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert dict(spark.conf.getAll) == before
+
+
+def test_words_are_hashed_in_little_memory():
+    texts = [prose(k, 3000) for k in range(60)] + ["x" * 100_000, None, "", "Ä" * 40_000 + " end"]
+    tracemalloc.start()
+    hashes, offs = textops.words(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(len(t or "") for t in texts)
+    known = {w: int(textops.words(pa.array([w]))[0][0]) for t in texts for w in (t or "").split()}
+    for k, t in enumerate(texts):
+        assert hashes[offs[k] : offs[k + 1]].tolist() == [known[w] for w in (t or "").split()]
