@@ -64,11 +64,12 @@ PORTIONS = 3
 
 _BLOCK = "block long, docs array<long>, sizes binary, vocabulary binary, tokens binary, grams array<long>"
 _PRICED = f"{_BLOCK}, totals array<binary>, own array<binary>"
+_SCORES = "doc_id long, n_tokens long, logprob double"
 _RUN = "dest long, src long, n int, up boolean, keys binary, a binary, b binary, c binary, stats array<long>"
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 _NAMES = [x.split()[0] for x in _RUN.split(", ")]
 #: What isn't addressed to anybody.
-_STATS, _MODEL = -1, -2
+_STATS, _MODEL, _SCORED = -1, -2, -3
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -381,25 +382,30 @@ def _totals(row: dict) -> dict:
     return {n: unpack(x).astype(np.int64) for n, x in enumerate(row["totals"], 1)}
 
 
-def _send_contexts(batches: Iterator[pa.RecordBatch], net: Net, model: Discounts, span: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """What the n-grams that a block owns weigh together after each context, and by the next lower order."""
+def _send_contexts(batches: Iterator[pa.RecordBatch], net: Net, model: Discounts) -> Iterator[pa.RecordBatch]:
+    """What the n-grams that a block owns weigh together after each context, and by the next lower order; and the block's scores.
+
+    The model's own documents never back off, so that the discounts are all that their scores need.
+    """
     for row in (row for batch in batches for row in batch.to_pylist()):
-        block, out = Block(row), []
+        block, out, spans = Block(row), [], []
         block.rank()
         total, own = _totals(row), {n: unpack_bits(x) for n, x in enumerate(row["own"], 1)}
         for n in range(2, ORDER + 1):
-            inside = _span(block.keys[n - 1], span)
             mine = np.flatnonzero(own[n])
             at = block.at[n][mine]
-            context = block.type[n - 1][at - 1] - inside.start
-            here = (context >= 0) & (context < inside.stop - inside.start)
-            mine, at, context, size = mine[here], at[here], context[here], inside.stop - inside.start
+            context, size = block.type[n - 1][at - 1], block.keys[n - 1].size
             high = np.bincount(context, weights=model.discounted(n, total[n][mine]), minlength=size)
             low = np.bincount(context, weights=model.discounted(n - 1, total[n - 1][block.type[n - 1][at]]), minlength=size)
             has = np.flatnonzero(high > 0)
-            keys, high, low = block.keys[n - 1][inside][has], high[has], low[has]
-            out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None, None) for c, x, y in net.cut(keys, net.coarse)]
-        yield _runs(out)
+            keys, high, low = block.keys[n - 1][has], high[has], low[has]
+            for k in range(CONTEXT_SPANS):
+                inside = _span(keys, (k, CONTEXT_SPANS))
+                cuts = net.cut(keys[inside], net.coarse)
+                out += [(net.relay(block.number, c), block.number, n - 1, True, pack_sorted(keys[x:y]), pack_floats(high[x:y]), pack_floats(low[x:y]), None, None) for c, x, y in ((c, x + inside.start, y + inside.start) for c, x, y in cuts)]
+                spans += [k] * len(cuts)
+        out.append((_SCORED, block.number, 0, False, None, pack(block.sizes), _logprobs(block, model, total, []).tobytes(), None, block.docs))
+        yield _runs(out).append_column("span", pa.array([*spans, _SCORED], pa.int32()))
 
 
 def _add_contexts(table: pa.Table, net: Net, last: bool) -> pa.Table:
@@ -436,12 +442,10 @@ def _results(block: Block, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(block.sizes, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "logprob"])
 
 
-def _evaluate_own(batches: Iterator[pa.RecordBatch], model: Discounts) -> Iterator[pa.RecordBatch]:
-    """The scores of the model's own documents, which never back off."""
+def _own_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores that came with the contexts, by document."""
     for row in (row for batch in batches for row in batch.to_pylist()):
-        block = Block(row)
-        block.rank()
-        yield _results(block, _logprobs(block, model, _totals(row), []))
+        yield pa.RecordBatch.from_arrays([pa.array(row["stats"], pa.int64()), pa.array(unpack(row["a"]).astype(np.int64)), pa.array(np.frombuffer(row["b"]))], names=["doc_id", "n_tokens", "logprob"])
 
 
 def _evaluate(left: pa.Table, right: pa.Table, model: Discounts) -> pa.Table:
@@ -484,8 +488,8 @@ def _stored(rows: DataFrame, folder: str, net: Net, span: int) -> None:
     stored(rows.write.partitionBy("n", "part").mode("append"), rows.sparkSession, folder)
 
 
-def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir: str, bucket_keys: int) -> tuple[DataFrame, Discounts]:
-    """Writes the model and gives the blocks with what they were told of their n-grams."""
+def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir: str, bucket_keys: int) -> DataFrame:
+    """Writes the model and gives the scores of its own blocks."""
     net = Net.of(max(1, math.ceil(math.sqrt(1.6 * tokens / bucket_keys))), n_blocks)
     counts = {n: [0] * (K + 2) for n in range(1, ORDER + 1)}
     told = None
@@ -499,39 +503,42 @@ def _train(blocks: DataFrame, n_blocks: int, tokens: int, base: str, model_dir:
         own = written(own, f"{base}/told-{name}")
         told = own if told is None else told.unionByName(own)
         removed(blocks.sparkSession, f"{base}/up-{name}", f"{base}/totals-{name}")
-    spark, priced = blocks.sparkSession, None
+    spark = blocks.sparkSession
+    priced = []
     for k in range(PORTIONS):
         # each portion takes the place of its blocks before the next one is made
         mine = blocks.where(F.col("portion") == k).drop("portion")
-        part = written(_cogrouped(mine, "block", told.where(F.pmod(F.xxhash64("dest"), F.lit(PORTIONS)) == k), "dest", _price, _PRICED), f"{base}/priced-{k}")
-        priced = part if priced is None else priced.unionByName(part)
+        priced.append(written(_cogrouped(mine, "block", told.where(F.pmod(F.xxhash64("dest"), F.lit(PORTIONS)) == k), "dest", _price, _PRICED), f"{base}/priced-{k}"))
         removed(spark, f"{base}/blocks/portion={k}")
     removed(spark, f"{base}/blocks", *[f"{base}/told-{k}" for k in range(SPANS + 1)])
     model = Discounts(counts, tokens)
+    for k, part in enumerate(priced):
+        # a block is taken apart once, for the contexts of all spans and its scores
+        sent = part.mapInArrow(lambda batches: _send_contexts(batches, net, model), f"{_RUN}, span int")
+        stored(sent.write.partitionBy("span").mode("append"), spark, f"{base}/contexts")
+        removed(spark, f"{base}/priced-{k}")
+    contexts = spark.read.schema(f"{_RUN}, span int").parquet(f"{base}/contexts")
+    done = written(contexts.where(F.col("span") == _SCORED).mapInArrow(_own_results, _SCORES), f"{base}/scores")
     for k in range(CONTEXT_SPANS):
-        sent = priced.mapInArrow(lambda batches, k=k: _send_contexts(batches, net, model, (k, CONTEXT_SPANS)), _RUN)
+        sent = contexts.where(F.col("span") == k).drop("span")
         summed = sent.groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, False), _RUN).groupBy("dest").applyInArrow(lambda t: _add_contexts(t, net, True), _RUN)
         _stored(summed, f"{model_dir}/backoff", net, k)
+        removed(spark, f"{base}/contexts/span={k}")
+    removed(spark, f"{base}/contexts")
     spark.createDataFrame([(json.dumps({"coarse": net.coarse, "tokens": tokens, "counts": counts}),)], "meta string").coalesce(1).write.parquet(f"{model_dir}/meta")
-    return priced, model
+    return done
 
 
 def _scores(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.round("logprob", 4).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("logprob") / F.col("n_tokens")), 4)).alias("perplexity"))
 
 
-_SCORES = "doc_id long, n_tokens long, logprob double"
-
-
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_dir: str | None = None, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """(doc_id, n_tokens, logprob, perplexity) of every row by the model of all rows, which ``model_dir`` keeps for ``score``."""
     spark = docs.sparkSession
     base = shared_dir(spark)
     blocks, n_blocks, tokens = _blocked(docs, id_col, text_col, f"{base}/blocks", block_tokens)
-    priced, model = _train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys)
-    done = written(priced.mapInArrow(lambda batches: _evaluate_own(batches, model), _SCORES), f"{base}/scores")
-    removed(spark, *[f"{base}/priced-{k}" for k in range(PORTIONS)])
-    return _scores(done)
+    return _scores(_train(blocks, n_blocks, tokens, base, model_dir or f"{base}/model", bucket_keys))
 
 
 def load(spark: SparkSession, model_dir: str) -> tuple[Discounts, int, DataFrame]:

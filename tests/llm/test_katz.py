@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from engramite.llm import katz
@@ -144,3 +145,17 @@ def test_packed_numbers_round_trip():
     assert (katz.unpack_bits(katz.pack_bits(mask)) == mask).all()
     floats = np.random.default_rng(1).random(33)
     assert (katz.unpack_floats(katz.pack_floats(floats)) == floats).all()
+
+
+def test_a_block_is_taken_apart_once_for_all_spans_and_its_scores(monkeypatch):
+    texts, ranked, rank = [prose(k, 200) for k in range(5)] + [None], [], katz.Block.rank
+    monkeypatch.setattr(katz.Block, "rank", lambda block: (ranked.append(block.number), rank(block)))
+    row = next(katz._blocks(iter([pa.RecordBatch.from_pydict({"doc_id": [*range(5), None], "text": texts})]), 1 << 19)).to_pylist()[0]
+    counted = {n: katz.Block(row).counted(n, (0, 1))[1] for n in (1, 2, 3)}
+    row |= {"totals": [katz.pack(c) for c in counted.values()], "own": [katz.pack_bits(np.ones(c.size, dtype=bool)) for c in counted.values()]}
+    model = katz.Discounts({n: np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2].tolist() for n, c in counted.items()}, int(counted[1].sum()))
+    runs = [r for batch in katz._send_contexts(iter([pa.RecordBatch.from_pylist([row])]), katz.Net.of(2, 1), model) for r in batch.to_pylist()]
+    assert len(ranked) == 1 and {r["span"] for r in runs} == {*range(katz.CONTEXT_SPANS), katz._SCORED}
+    scores = next(katz._own_results(iter([pa.RecordBatch.from_pylist([r for r in runs if r["span"] == katz._SCORED])]))).to_pylist()
+    assert [s["doc_id"] for s in scores] == [*range(5), None]
+    assert [s["logprob"] for s in scores] == pytest.approx([Brute(texts).score(t) for t in texts])
