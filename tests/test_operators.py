@@ -247,3 +247,27 @@ def test_nodes_without_vectors_rank_for_every_query(spark, monkeypatch):
     same(q.vectors(spark, sf), some)
     monkeypatch.setattr(q, "view", lambda *_: some)
     assert q.similarity_null_embedding_all(spark, sf).select("query_id").distinct().count() == q.vectors(spark, sf).count()
+
+
+def test_best_of_many_blocks(monkeypatch):
+    """Ties, equal and empty vectors and confidences of 0, in tiles of few and of many candidates."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "TILE", (5, 16))
+    for seed, copies in ((0, 1), (1, 4), (2, 40)):
+        rnd = np.random.default_rng(seed)
+        x, y = rnd.normal(size=(23, 8)).astype(np.float32), np.repeat(rnd.normal(size=(160 // copies, 8)), copies, axis=0).astype(np.float32)
+        conf, tie = np.sort(rnd.integers(0, 5, len(y)) / 4.0)[::-1], rnd.permutation(len(y))
+        vectors = [None if i % 50 == 7 else v for i, v in enumerate(y)]
+        best = similarity.Best({"query_id": pa.array(range(23)), "vector": pa.array(list(x), pa.list_(pa.float32()))}, 6, 6)
+        for at in range(0, len(y), 40):
+            some = slice(at, at + 40)
+            best.meet({"id": pa.array([f"n{t}" for t in tie[some]]), "embedding": pa.array(vectors[some], pa.list_(pa.float32())), "confidence": pa.array(conf[some]), "updated_us": pa.array(-tie[some]), "tie": pa.array(tie[some])})
+        got = best.rows().to_pydict()
+        assert len(got["id"]) == 23 * 6  # not 6 of every block
+        cos = similarity.cosines(pa.array(list(x), pa.list_(pa.float32())), pa.array(vectors, pa.list_(pa.float32())))
+        score = np.round(cos * conf, 6)
+        for q in range(23):
+            want = [(f"n{tie[j]}", score[q, j] + 0.0) for j in np.lexsort((tie, -score[q]))[:6]]
+            assert [(i, s) for p, i, s in zip(got["query_id"], got["id"], got["score"], strict=True) if p == q] == want
