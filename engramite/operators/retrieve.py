@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramite.functions.scoring import hop_score
 from engramite.operators.relations import top_neighbors
-from engramite.operators.similarity import search
+from engramite.operators.similarity import is_few, search
 from engramite.schema import SCORE_DIGITS, RetrievalConfig
 
 _KEY = ("query_id", "node_id")
@@ -41,14 +41,20 @@ def entries(queries: DataFrame, nodes: DataFrame, edges: DataFrame, config: Retr
     A path with a higher score than the seed's own raises the score and names the parent in ``via``,
     and lifts a negative similarity to 0; hops and source stay the seed's.  A node that isn't a seed
     takes its hop and ``via`` from the lowest hop that reached it, and the best score of any hop.
-    The hops are few, so the plan is unrolled rather than iterated.
+    The hops are few, so the plan is unrolled rather than iterated.  Of many queries, the seeds and what each hop but
+    the last reaches are tables in the shared folder, since each is read more than once.
     """
-    first = seeds(queries, nodes, config.similarity_limit)
+    from engramite.sources.tables import kept
+
+    held = (lambda df: df) if is_few(queries) else kept
+    first = held(seeds(queries, nodes, config.similarity_limit))
     parts = [first.select(*_KEY, F.lit(0).alias("hop"), "similarity", "score", F.lit(None).cast("string").alias("via"))]
     frontier = first.select(*_KEY, F.col("raw_score").alias("score"))
     for hop in range(1, config.expansion_hops + 1):
         near = top_neighbors(edges, config.neighbors_per_node, frontier.select(F.col("node_id").alias("src")))
         reached = arrivals(frontier, near, nodes, hop, config.hop_decay)
+        if hop < config.expansion_hops:
+            reached = held(reached)
         parts.append(reached.select(*_KEY, F.lit(hop).alias("hop"), F.lit(0.0).alias("similarity"), "score", "via"))
         frontier = reached.select(*_KEY, "score")
     every = parts[0]

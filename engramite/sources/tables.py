@@ -45,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, whose size tells Catalyst how to join."""
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def latest_per_key(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The last row of every key; of equal sequence numbers any one, as they are the same write."""
     last = Window.partitionBy(key).orderBy(F.desc(seq))

@@ -271,3 +271,15 @@ def test_best_of_many_blocks(monkeypatch):
         for q in range(23):
             want = [(f"n{tie[j]}", score[q, j] + 0.0) for j in np.lexsort((tie, -score[q]))[:6]]
             assert [(i, s) for p, i, s in zip(got["query_id"], got["id"], got["score"], strict=True) if p == q] == want
+
+
+def test_seeds_of_many_queries_are_searched_once(spark, monkeypatch):
+    nodes, edges = graph(3)
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.5, -0.2]), (1, [0.1, 1.0, 0.5, 0.2])], "query_id long, vector array<double>")
+    config = RetrievalConfig(similarity_limit=3, expansion_hops=2)
+    want = sorted(map(str, retrieve.retrieve(q, n, e, config).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    df = retrieve.retrieve(q, n, e, config)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, df.collect())) == want
