@@ -283,3 +283,22 @@ def test_seeds_of_many_queries_are_searched_once(spark, monkeypatch):
     df = retrieve.retrieve(q, n, e, config)
     assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, df.collect())) == want
+
+
+def test_zeros_are_tallied_by_query(monkeypatch):
+    """A query has one row for a chunk, with the places of its zeros only."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "TILE", (5, 16))
+    rnd = np.random.default_rng(4)
+    x, y = rnd.normal(size=(23, 8)), rnd.normal(size=(120, 8))
+    x[:, 4:], y[::3, :4] = 0.0, 0.0
+    one, conf = pa.list_(pa.float64()), np.full(120, 0.5)
+    tally = similarity.Tally({"query_id": pa.array(range(23)), "vector": pa.array(list(x), one)}, 6)
+    for at in (0, 60):
+        tally.meet({"embedding": pa.array(list(y[at : at + 60]), one), "confidence": pa.array(conf[at : at + 60]), "before": pa.array(np.arange(at, at + 60))})
+    total = np.round(similarity.cosines(pa.array(list(x), one), pa.array(list(y), one)) * conf, 6)
+    got = tally.rows().to_pydict()
+    assert got["positive"] == (total > 0).sum(axis=1).tolist()
+    assert [sorted(c) for c in got["cuts"]] == [np.flatnonzero(t == 0).tolist() for t in total]
