@@ -40,13 +40,20 @@ def _word(text: str) -> int:
     return struct.unpack(">I", hashlib.md5(text.encode()).digest()[:4])[0]
 
 
+@lru_cache(maxsize=200_000)
+def _feature(name: str, dim: int) -> tuple[int, float]:
+    return _word("tok:" + name) % dim, (-1.0 if _word("sgn:" + name) % 2 else 1.0) * (1.0 + math.log(1 + len(name.encode())))
+
+
 @lru_cache(maxsize=200_000)
 def _features(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and signed weights of a token at the first position."""
     grams = [token] if len(token) < 3 else [token[i : i + 3] for i in range(len(token) - 2)]
-    named = [(token, 1.0), *(("tri:" + g, 0.5) for g in grams)]
-    weights = [(-1.0 if _word("sgn:" + t) % 2 else 1.0) * (1.0 + math.log(1 + len(t.encode()))) * scale for t, scale in named]
-    return np.array([_word("tok:" + t) % dim for t, _ in named]), np.array(weights)
+    # trigrams are far fewer than tokens
+    found = [_feature.__wrapped__(token, dim), *(_feature("tri:" + g, dim) for g in grams)]
+    weights = np.array([w for _, w in found])
+    weights[1:] *= 0.5
+    return np.array([b for b, _ in found]), weights
 
 
 def hashed_vectors(texts: list[str | None], dim: int = EMBEDDING_DIM) -> np.ndarray:
@@ -68,6 +75,10 @@ def hashed_vectors(texts: list[str | None], dim: int = EMBEDDING_DIM) -> np.ndar
         begin, token, size = np.cumsum(width) - width, np.array(found), np.array(sizes)
         row = np.repeat(np.arange(size.size), size)
         scale = 1.0 / (np.arange(token.size) - (np.cumsum(size) - size)[row] + 1)
+        # a text's equal tokens together
+        pairs, at = np.unique(row * len(number) + token, return_inverse=True)
+        scale = np.bincount(at, scale)
+        row, token = np.divmod(pairs, len(number))
         n = width[token]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[token], n)
         whole = np.bincount(np.repeat(row, n) * dim + buckets[at], weights[at] * np.repeat(scale, n), size.size * dim).reshape(-1, dim)
@@ -105,13 +116,20 @@ def embedded(df: DataFrame, text: str, into: str = "embedding", dim: int = EMBED
     return df.mapInArrow(run, schema)
 
 
-def bucket_weights(df: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """(key, bucket, value): the buckets of each text's vector that aren't 0, as doubles; blank texts count as ``_empty_``."""
+def bucket_weights(df: DataFrame, key: str, text: str, dim: int = EMBEDDING_DIM, digits: int | None = None) -> DataFrame:
+    """(key, bucket, value): the buckets of each text's vector that aren't 0, as doubles; blank texts count as ``_empty_``.
+
+    With ``digits``, values are rounded to so many, halves away from 0, as SQL does, and those that round to 0 are left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = hashed_vectors(batch.column(1).to_pylist(), dim)
-            row, at = np.nonzero(vectors)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at, pa.int64()), pa.array(vectors[row, at])], ["key", "bucket", "value"])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                vectors = hashed_vectors(part.column(1).to_pylist(), dim)
+                if digits is not None:
+                    vectors = np.copysign(np.floor(np.abs(vectors) * 10.0**digits + 0.5) / 10.0**digits, vectors)
+                row, at = np.nonzero(vectors)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at, pa.int64()), pa.array(vectors[row, at])], ["key", "bucket", "value"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
     return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"key {kind}, bucket long, value double").withColumnRenamed("key", key)

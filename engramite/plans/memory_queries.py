@@ -118,7 +118,7 @@ n AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(value / norm, 6) + 0.0 AS value FROM b JOIN n USING (doc_id) WHERE round(value / norm, 6) <> 0""")
 def hashing_embed(spark: SparkSession, sf: str) -> DataFrame:
     """The buckets of every document's vector, without those that round to 0."""
-    return text.bucket_weights(table(spark, sf, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6) + 0.0).where("value <> 0")
+    return text.bucket_weights(table(spark, sf, "documents"), "doc_id", "text", digits=6)
 
 
 @query(oracle("SELECT causal_node_id AS id, arg_max(status, seq) AS status, round(arg_max(confidence, seq), 6) AS confidence, max(seq) AS seq FROM outcomes GROUP BY causal_node_id", "outcomes"))

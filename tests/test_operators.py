@@ -302,3 +302,21 @@ def test_zeros_are_tallied_by_query(monkeypatch):
     got = tally.rows().to_pydict()
     assert got["positive"] == (total > 0).sum(axis=1).tolist()
     assert [sorted(c) for c in got["cuts"]] == [np.flatnonzero(t == 0).tolist() for t in total]
+
+
+def test_trigrams_are_hashed_once_and_values_rounded(spark):
+    import numpy as np
+
+    text._features.cache_clear()
+    text._feature.cache_clear()
+    words = ["abcd", "abce", "abcd", "x", "xabc"]
+    v = text.hashed_vectors([" ".join(words)])[0]
+    assert text._feature.cache_info().misses == 5  # abc, bcd, bce, x, xab
+    plain = np.zeros(384)
+    for at, w in enumerate(words):
+        buckets, weights = text._features(w, 384)
+        np.add.at(plain, buckets, weights / (at + 1))
+    assert v == pytest.approx(plain / np.linalg.norm(plain), abs=1e-12)
+    df = spark.createDataFrame([(1, " ".join(words)), (2, None)], "k long, t string")
+    rounded = {(r.k, r.bucket): r.value for r in text.bucket_weights(df, "k", "t", digits=2).collect()}
+    assert rounded == {(r.k, r.bucket): round(r.value, 2) for r in text.bucket_weights(df, "k", "t").collect() if round(r.value, 2)}
