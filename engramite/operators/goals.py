@@ -64,8 +64,8 @@ def remove_dependencies(deps: DataFrame, unwanted: DataFrame) -> DataFrame:
 def dependency_closure(deps: DataFrame, hops: int = 2) -> DataFrame:
     """Extension: every (goal_id, dependency_goal_id) reachable through dependencies.
 
-    Semi-naive: a round takes only the pairs that are new so far ``hops`` dependencies further, never pairs with pairs,
-    and ends when nothing new comes.  Each round is a table in the shared folder, whose size tells Catalyst how to join.
+    Semi-naive: a round takes only the farthest pairs so far ``hops`` dependencies further, never pairs with pairs, and
+    ends when none is as far.  What is new comes from one aggregation with the pairs so far.  Each round is a table in the shared folder, whose size tells Catalyst how to join.
     """
     from engramite.sources.tables import shared_dir
 
@@ -78,16 +78,18 @@ def dependency_closure(deps: DataFrame, hops: int = 2) -> DataFrame:
 
     base = kept(deps.select("goal_id", "dependency_goal_id").distinct(), 0)
     step = base.select(F.col("goal_id").alias("dependency_goal_id"), F.col("dependency_goal_id").alias("next"))
-    pairs, new, n = base, base, 0
+    pairs, front, n = base, base, 0
     while True:
-        reached, front, n = None, new, n + 1
-        for _ in range(hops):
-            front = front.join(step, "dependency_goal_id").select("goal_id", F.col("next").alias("dependency_goal_id"))
-            reached = front if reached is None else reached.unionByName(front)
-        new = kept(reached.distinct().join(pairs, ["goal_id", "dependency_goal_id"], "left_anti"), n)
-        if new.isEmpty():
+        reached, far, n = pairs.withColumn("hop", F.lit(0)), front, n + 1
+        for hop in range(1, hops + 1):
+            far = far.join(step, "dependency_goal_id").select("goal_id", F.col("next").alias("dependency_goal_id"))
+            reached = reached.unionByName(far.withColumn("hop", F.lit(hop)))
+        new = kept(reached.groupBy("goal_id", "dependency_goal_id").agg(F.min("hop").alias("hop")).where("hop > 0"), n)
+        pairs = pairs.unionByName(new.drop("hop"))
+        # a pair that takes fewer hops leads only to pairs that are there
+        front = new.where(F.col("hop") == hops).drop("hop")
+        if front.isEmpty():
             return pairs
-        pairs = pairs.unionByName(new)
 
 
 def review_policy(goals: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -320,3 +320,18 @@ def test_trigrams_are_hashed_once_and_values_rounded(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, None)], "k long, t string")
     rounded = {(r.k, r.bucket): r.value for r in text.bucket_weights(df, "k", "t", digits=2).collect()}
     assert rounded == {(r.k, r.bucket): round(r.value, 2) for r in text.bucket_weights(df, "k", "t").collect() if round(r.value, 2)}
+
+
+def test_closure_with_cycles_and_nulls(spark):
+    """A goal without an id once kept the rounds going for ever."""
+    rnd = random.Random(5)
+    pairs = {(rnd.randrange(15), rnd.randrange(15)) for _ in range(22)} | {(k, k + 1) for k in range(20, 27)} | {(None, 3), (4, None)}
+    want = set(pairs)
+    while True:
+        more = {(a, d) for a, b in want for c, d in pairs if b is not None and b == c} - want
+        if not more:
+            break
+        want |= more
+    df = spark.createDataFrame(sorted(pairs, key=str), "goal_id int, dependency_goal_id int")
+    for hops in (1, 2, 3):
+        assert sorted(map(tuple, goals.dependency_closure(df, hops).collect()), key=str) == sorted(want, key=str)
